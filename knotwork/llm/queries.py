@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import minhash
+from knotwork.llm import line_dedup, minhash, mixing
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,5 +16,15 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
 
 
-QUERIES = {"op1_minhash": op1_minhash}
-ORACLES: dict[str, str] = {}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` without lines that stand on ten sites or more."""
+    return line_dedup.drop_boilerplate(read(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of ``documents`` in output shards, sources weighted by their tokens to the power 0.7."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_minhash": op1_minhash, "op5_line_dedup": op5_line_dedup, "op10_mixing": op10_mixing}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
