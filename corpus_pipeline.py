@@ -1,13 +1,58 @@
-"""Stages from documents to tokens."""
+"""From documents to token ids: language ID, line dedup, near-duplicate removal, source mixing, BPE encoding.
 
-from knotwork.llm import minhash
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. Each
+works on all rows that the stage before it kept. ``run`` writes what a stage returns to the shared folder and hands the
+table on, so that no stage is computed twice and a lost executor costs its own tasks only.
+"""
 
-STAGES = [("near_duplicates", lambda spark, docs, sf_dir: minhash.drop_near_duplicates(docs))]
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from knotwork.llm import bpe, langid, line_dedup, minhash, mixing
+from knotwork.operators.lineage import cut
+
+
+def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that language ID accepts; the others go."""
+    return langid.keep_known(docs)
+
+
+def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines of ten sites or more; a document left without text stays, as an empty one."""
+    return line_dedup.drop_boilerplate(docs).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of least doc_id, and all that are in no group."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each slot: a block of the source drawn for it, with the doc_id and lang of the document it begins in."""
+    return mixing.mix_documents(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every row, with its source."""
+    return bpe.encode(docs, more=("lang", "source"))
+
+
+STAGES = [
+    ("language_id", known_languages),
+    ("line_dedup", without_boilerplate),
+    ("near_duplicates", without_near_duplicates),
+    ("mixing", mixed_sources),
+    ("bpe", token_ids),
+]
+#: SQL has no language model, minima or merges: the stages are tested against brute force in tests/llm.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

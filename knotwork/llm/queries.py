@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm import line_dedup, minhash, mixing
+from knotwork.llm import bpe, langid, line_dedup, minhash, mixing
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -16,15 +16,31 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents")).drop("key")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of ``documents``, and whether decoding gives each text again."""
+    return bpe.encode(read(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without lines that stand on ten sites or more."""
     return line_dedup.drop_boilerplate(read(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, and spans by language, of ``documents``."""
+    return langid.identify(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of ``documents`` in output shards, sources weighted by their tokens to the power 0.7."""
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_minhash": op1_minhash, "op5_line_dedup": op5_line_dedup, "op10_mixing": op10_mixing}
+QUERIES = {
+    "op1_minhash": op1_minhash,
+    "op2_bpe": op2_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_language": op6_language,
+    "op10_mixing": op10_mixing,
+}
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
