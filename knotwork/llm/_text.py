@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -55,7 +56,7 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return at - at[0], raw
 
 
-def slices(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most`` bytes each; a longer row is a range of its own."""
     n = len(texts)
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
@@ -92,5 +93,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches that hold rows."""
-    return (b for b in parts if b.num_rows)
+    """The batches that hold rows. After the last one the worker, which lives on, gives back the memory it has freed."""
+    try:
+        yield from (b for b in parts if b.num_rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass

@@ -309,7 +309,7 @@ def decode(ids: list[int], vocabulary: str = BpeParams.vocabulary) -> str:
 def _word_counter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each word of the task's texts with its count, summed slice by slice."""
     for batch in batches(parts):
-        for i, j in slices(batch["text"], 8 << 20):
+        for i, j in slices(batch["text"], 2 << 20):
             at, raw = buffers(batch["text"].slice(i, j - i))
             begin = split_starts(raw, at)
             if not len(begin):
@@ -409,7 +409,7 @@ def _encoder(path: str, vocabulary_path: str, more: tuple[str, ...] = ()):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, lexicon = Vocabulary.open(vocabulary_path), open_lexicon(path)
         for batch in batches(parts):
-            for i, j in slices(batch["text"], 4 << 20):
+            for i, j in slices(batch["text"], 1 << 20):
                 texts = batch["text"].slice(i, j - i)
                 ids, rows, good = encode_rows(texts, vocabulary, lexicon)
                 none = np.asarray(pc.is_null(texts))

@@ -93,7 +93,7 @@ def chunk_rows(texts: pa.Array, p: ChunkParams) -> tuple[np.ndarray, np.ndarray,
 def _chunker(p: ChunkParams):
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            for i, j in slices(batch["text"], 4 << 20):
+            for i, j in slices(batch["text"], 1 << 20):
                 part = batch.slice(i, j - i)
                 digest, _, rows = chunk_rows(part["text"], p)
                 ids, names, totals, flat, ends = [], [], [], [], [0]

@@ -248,7 +248,7 @@ def _labeller(model: Model):
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            for i, j in slices(batch["text"], 4 << 20):
+            for i, j in slices(batch["text"], 2 << 20):
                 texts = batch["text"].slice(i, j - i)
                 label, rows, begin, end, base = label_rows(texts, model)
                 n = np.diff(rows)
@@ -324,7 +324,7 @@ def _keeper(model: Model):
 
     def keep(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            for i, j in slices(batch["__text"], 4 << 20):
+            for i, j in slices(batch["__text"], 2 << 20):
                 part = batch.slice(i, j - i)
                 slim = pa.RecordBatch.from_arrays([pa.array(np.arange(part.num_rows)), part["__text"]], names=["doc_id", "text"])
                 marks = pa.Table.from_batches(run([slim]))["accepted"].combine_chunks()
