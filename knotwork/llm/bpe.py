@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm._text import BASE, INVERSE, batches, buffers, cached_powers, mix, slices
-from knotwork.operators.lineage import shared_dir
+from knotwork.operators.lineage import cut, release, shared_dir
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENS = "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean"
@@ -41,7 +41,7 @@ class BpeParams:
     lexicon_words: int = 1 << 16
 
 
-# ---------------------------------------------------------------- splitting
+# == splitting
 
 LETTER, NUMBER, SPACE, OTHER = 0, 1, 2, 3
 _classes: list[np.ndarray] = []
@@ -135,7 +135,7 @@ def word_ids(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((total[end] - total[begin]) * cached_powers(INVERSE, len(raw) + 1)[begin] + (end - begin).astype(np.uint64))
 
 
-# ---------------------------------------------------------------- transducer
+# == transducer
 
 
 class Lexicon:
@@ -255,7 +255,7 @@ def compile_lexicon(words: list[tuple[bytes, list[int]]]) -> np.ndarray:
     return np.concatenate([head, letter, onward.reshape(-1), skip.reshape(-1), ends, offsets, np.array(ids, np.int32)])
 
 
-# ---------------------------------------------------------------- vocabulary
+# == vocabulary
 
 _vocabularies: dict[str, Vocabulary] = {}
 
@@ -303,7 +303,7 @@ def decode(ids: list[int], vocabulary: str = BpeParams.vocabulary) -> str:
     return Vocabulary.open(vocabulary).decode_bytes(np.asarray(ids, dtype=np.int64)).tobytes().decode("utf-8", "replace")
 
 
-# ---------------------------------------------------------------- counting
+# == counting
 
 
 def _word_counter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +330,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, p: BpeParams = BpeParams()) -> str:
-    """Compile the most frequent words of ``docs`` into a file of the shared folder; its path."""
+    """Compile the most frequent words of ``docs``, ``lexicon_words`` at most, into a file of the shared folder; its path."""
     vocabulary = Vocabulary.open(p.vocabulary)
-    top = word_counts(docs).orderBy(F.desc("n"), "word").limit(p.lexicon_words).select("word").toPandas()["word"]
+    counts = cut(word_counts(docs), "words")
+    # counts fall into steps of a sixteenth of a doubling; the highest steps that fit are taken whole, so that no task sends
+    # more than its share of the lexicon
+    step = F.floor(F.log2("n") * 16)
+    least, room = None, p.lexicon_words
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["step"]
+    top = [] if least is None else [r["word"] for r in counts.where(step >= least).select("word").collect()]
+    release(counts)
     flat = compile_lexicon([(bytes(w), vocabulary.merge(bytes(w))) for w in top])
     path = f"{shared_dir(docs.sparkSession)}/lexicon-{uuid.uuid4().hex}.bin"
     save(docs.sparkSession, path, flat.tobytes())
@@ -370,7 +381,7 @@ def open_lexicon(path: str) -> Lexicon:
     return _lexicons[path]
 
 
-# ---------------------------------------------------------------- encoding
+# == encoding
 
 
 def encode_rows(texts: pa.Array, vocabulary: Vocabulary, lexicon: Lexicon) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
