@@ -44,13 +44,13 @@ def parser() -> argparse.ArgumentParser:
 def _guards(o: argparse.Namespace, config_path: str | None) -> str | None:
     """What makes a combination of flags unusable."""
     if o.write and not (o.dump_cyclic_files or o.dump_ignores):
-        return "--write requires --dump-cyclic-files or --dump-ignores"
+        return "--write goes with --dump-cyclic-files or --dump-ignores only"
     if o.write and o.check_cyclic_files:
-        return "--write cannot be combined with --check-cyclic-files"
+        return "--write and --check-cyclic-files exclude each other"
     if o.write and config_path is None:
         return f"--write needs a {settings.FILE}, but there is none"
     if o.check_max_cycles and o.check_cyclic_files:
-        return "--check-max-cycles cannot be combined with --check-cyclic-files"
+        return "only one of --check-max-cycles and --check-cyclic-files can run"
     return None
 
 

@@ -116,7 +116,7 @@ def chain(path: str | Column, entry: str | Column) -> Column:
     return F.concat_ws(" -> ", hops, _c(entry))
 
 
-# ---------------------------------------------------------------- on the driver
+# == on the driver
 
 
 def normalize_path(raw: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.functions import paths
+from knotwork.operators.lineage import cut
 from knotwork.operators.scc import strong_components
 
 
@@ -45,17 +46,18 @@ def induced(edges: DataFrame, members: DataFrame) -> DataFrame:
 def intern(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(path, path_key, id): ids from 0 in path order; ends of edges that are no nodes are nodes too.
 
-    The order is global: ranges are numbered on their own and then shifted by what lies before them, so that no task
-    sorts the whole.
+    The order is global: rows are sorted in ranges, numbered in each, and shifted by what the ranges before hold, so that
+    no task sorts the whole. The ranges are a written table, as another run of the sort might cut them elsewhere.
     """
     every = nodes.select("path").union(edges.select("src")).union(edges.select("dst")).distinct()
-    keyed = every.withColumn("path_key", paths.path_key("path"))
-    top = F.get("path_key", F.lit(0))
-    within = W.partitionBy("top").orderBy("path_key")
-    ranked = keyed.withColumn("top", top).withColumn("r", F.row_number().over(within) - 1)
-    sizes = ranked.groupBy("top").agg(F.count("*").alias("n"))
-    base = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("top").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(base.select("top", "base"), "top").select("path", "path_key", (F.col("base") + F.col("r")).cast("long").alias("id"))
+    sorted_ = every.withColumn("path_key", paths.path_key("path")).repartitionByRange("path_key").sortWithinPartitions("path_key")
+    placed = cut(sorted_.withColumn("at", F.monotonically_increasing_id()), "ranges")
+    part, within = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    base = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = placed.withColumn("part", part).join(base, "part")
+    return numbered.select("path", "path_key", (F.col("base") + within).cast("long").alias("id"))
 
 
 def restore_suppressed(nodes: DataFrame, edges: DataFrame, winners: DataFrame, suppressed: DataFrame) -> DataFrame:

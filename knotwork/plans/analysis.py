@@ -59,7 +59,7 @@ def _excluded(nodes: DataFrame, raws: list[str], roots: list[str], warnings: lis
         if match is None:
             if hint:
                 warnings.append(f"warning: '{paths.normalize_path(raw)}' is no path of the project; did you mean '{hint}'?")
-            warnings.append(f"warning: exclude path '{raw}' matched no first-party files")
+            warnings.append(f"warning: nothing to exclude at '{raw}'")
             continue
         kind, rows = match
         shown.append(paths.normalize_path(raw) + ("/" if kind == "directory" else ""))
@@ -137,7 +137,7 @@ def traces(a: Analysis, raws: list[str]) -> tuple[list[dict], list[str], list[st
         if match is None:
             if hint:
                 said.append(f"warning: '{paths.normalize_path(raw)}' is no path of the project; did you mean '{hint}'?")
-            said.append(f"warning: trace path '{raw}' matched no first-party files")
+            said.append(f"warning: nothing to trace at '{raw}'")
             unknown.append(raw)
         else:
             matched.append((paths.normalize_path(raw), *match))

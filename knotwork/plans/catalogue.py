@@ -61,7 +61,7 @@ def cycles_of(spark: SparkSession, sf_dir: str, least: int = 2) -> tuple[DataFra
     return nodes, edges, cut(C.ordered(found, ROOTS), "cycles")
 
 
-# ---------------------------------------------------------------- graph
+# == graph
 
 EXTRA_ROOT = 50  # parts whose number divides by this are defined below lib too
 
@@ -284,7 +284,7 @@ def check_max_cycles(spark, sf_dir):
     return found.agg(F.count("*").alias("cycles"), (F.count("*") > 1).alias("over"), (F.count("*") > 0).alias("strict"))
 
 
-# ---------------------------------------------------------------- reachability
+# == reachability
 
 SEEDS = 40
 FORWARD = ", f AS (SELECT path FROM p WHERE part % 40 = 0 UNION SELECT d.dst FROM f JOIN d ON d.src = f.path)\n"
@@ -378,7 +378,7 @@ def match_path(spark, sf_dir):
     return a.unionByName(b)
 
 
-# ---------------------------------------------------------------- a suppressed edge put back
+# == a suppressed edge put back
 
 RESTORE = """, n AS (SELECT y.path AS src, x.path AS dst, line FROM e JOIN p x ON e.a = x.part JOIN p y ON e.b = y.part WHERE e.a % 5 = 0 AND x.path <> y.path)
 , u AS (SELECT src, dst FROM d UNION SELECT src, dst FROM n)
@@ -399,7 +399,7 @@ def restore_init_edges(spark, sf_dir):
     return G.restore_suppressed(nodes, edges, G.module_winners(D.files(spark, sf_dir)), suppressed).select("src", "dst", joined("lines"))
 
 
-# ---------------------------------------------------------------- resolution
+# == resolution
 
 INDEX = ", ix AS (SELECT module FROM p WHERE part % 7 > 0 UNION SELECT DISTINCT brand FROM p WHERE brand LIKE '%1%')\n"
 
@@ -493,7 +493,7 @@ def resolve_all(spark, sf_dir):
     return R.resolve(_raw(spark, sf_dir, "import"), _index(spark, sf_dir))["deps"]
 
 
-# ---------------------------------------------------------------- paths of all parts
+# == paths of all parts
 
 
 @query("SELECT path, module FROM p")

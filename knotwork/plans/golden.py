@@ -38,7 +38,7 @@ def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-# ---------------------------------------------------------------- names and paths
+# == names and paths
 
 
 @query("path VARCHAR, module VARCHAR, package VARCHAR", [
@@ -75,10 +75,10 @@ def string_candidate(spark, sf_dir):
     return table(spark, [(v,) for v in values], "value string").select("value", paths.is_candidate("value", 0).alias("plain"), paths.is_candidate("value", 2).alias("dotted"))
 
 
-@query("candidate VARCHAR, tries VARCHAR", [("a.b.c.d", "a.b.c.d,a.b.c"), ("a.b.c", "a.b.c"), ("a.b", ""), ("a", "")])
+@query("candidate VARCHAR, tries VARCHAR", [("k.l.m.n", "k.l.m.n,k.l.m"), ("k.l.m", "k.l.m"), ("k.l", ""), ("k", "")])
 def shortened(spark, sf_dir):
     """What is tried for a candidate while two dots remain."""
-    return table(spark, [("a.b.c.d",), ("a.b.c",), ("a.b",), ("a",)], "candidate string").select("candidate", F.array_join(paths.shortened("candidate", 2), ",").alias("tries"))
+    return table(spark, [("k.l.m.n",), ("k.l.m",), ("k.l",), ("k",)], "candidate string").select("candidate", F.array_join(paths.shortened("candidate", 2), ",").alias("tries"))
 
 
 @query("path VARCHAR, bare VARCHAR, key VARCHAR", [
@@ -108,7 +108,7 @@ def user_paths(spark, sf_dir):
     return table(spark, [(r, paths.normalize_path(r), paths.slug(paths.normalize_path(r)), paths.html_escape(r)) for r in raws], "raw string, path string, slug string, escaped string")
 
 
-# ---------------------------------------------------------------- extraction
+# == extraction
 
 SAMPLE = '''"""Doc of pkg.sub.mod."""
 import os, pkg.a as alias
@@ -195,7 +195,7 @@ def import_lines_of(spark, sf_dir):
     return E.raw_imports(facts).select(F.col("rel_path").alias("path"), "line")
 
 
-# ---------------------------------------------------------------- a project
+# == a project
 
 PROJECT = {
     "alpha/__init__.py": "from beta import helpers\n",

@@ -27,7 +27,7 @@ r.hidden=!r.dataset.key.includes(b.value);if(r.hidden&&r.classList.contains('cyc
 
 def _page(title: str, body: list[str]) -> str:
     return "\n".join(
-        ["<!DOCTYPE html>", '<html lang="en"><head><meta charset="utf-8">', f"<title>{esc(title)}</title><style>{STYLE}</style></head><body>", *body, f"<script>{SCRIPT}</script>", "</body></html>", ""]
+        ["<!DOCTYPE html>", '<html><head><meta charset="utf-8">', f"<title>{esc(title)}</title><style>{STYLE}</style></head><body>", *body, f"<script>{SCRIPT}</script>", "</body></html>", ""]
     )
 
 
@@ -84,7 +84,7 @@ def report_page(report: dict, stats: dict[str, list], stem: str, code: dict[tupl
         body.append(f'<h2 id="cyclic-files">Known Cyclic Files</h2><p>{plural(len(cyclic), "file")}</p><input class="search" data-rows="li.file" placeholder="file"><ul>')
         body += [f'<li class="file" data-key="{esc(f)}">{esc(f)}</li>' for f in cyclic] + ["</ul>"]
     if traced := report.get("traced"):
-        body.append('<h2 id="cycle-impact">Cycle Impact</h2><table><tr><th>Path</th><th>Kind</th><th>Impact</th></tr>')
+        body.append('<h2 id="cycle-impact">Cycle Impact</h2><table><tr><th>Traced</th><th>File or directory</th><th>Result</th></tr>')
         body += [f'<tr><td><a href="{trace_page(stem, i, t["path"])}">{esc(t["path"])}</a></td><td>{esc(t["kind"])}</td><td>{_impact(t)}</td></tr>' for i, t in enumerate(traced)]
         body.append("</table>")
     return _page("Import cycles", body)

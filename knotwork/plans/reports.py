@@ -127,7 +127,7 @@ def source_lines(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     return met.select("path", "line", F.aggregate(rest, start, grow)["text"].alias("text"))
 
 
-# ---------------------------------------------------------------- text
+# == text
 
 
 def _lines_of(lines: list[int]) -> str:

@@ -1,19 +1,19 @@
 """Small projects and what the analysis must find in them."""
 
-A_B = {"src/app/a.py": "from app import b\n", "src/app/b.py": "from app import a\n"}
+A_B = {"src/web/a.py": "from web import b\n", "src/web/b.py": "from web import a\n"}
 TINY = {"src/a.py": "from . import b\n", "src/b.py": "from . import c\n", "src/c.py": "from . import a\n"}
 MULTI = {
     "src/auth/a.py": "from auth import b\n", "src/auth/b.py": "from auth import a\n",
     "src/auth/c.py": "import models.x\n", "src/models/x.py": "import auth.c\n",
 }
 BRANCH = {
-    "src/app/__init__.py": "# package\n", "src/app/core_a.py": "from app import core_b\n", "src/app/core_b.py": "from app import core_a\n",
-    "src/app/mid.py": "\nfrom app import core_a\n", "src/app/entry.py": "from app import mid\n", "src/app/isolated.py": "",
+    "src/web/__init__.py": "# package\n", "src/web/core_a.py": "from web import core_b\n", "src/web/core_b.py": "from web import core_a\n",
+    "src/web/mid.py": "\nfrom web import core_a\n", "src/web/entry.py": "from web import mid\n", "src/web/isolated.py": "",
 }
-SELF_INIT = {"src/pkg/__init__.py": "from pkg.child import x\n", "src/pkg/child.py": "\nfrom . import sibling\n", "src/pkg/sibling.py": ""}
+SELF_INIT = {"src/kit/__init__.py": "from kit.child import x\n", "src/kit/child.py": "\nfrom . import sibling\n", "src/kit/sibling.py": ""}
 IGNORE_DIRS = {
-    "src/app/protos/x.py": "from app.protos import y\n", "src/app/protos/y.py": "from app.protos import x\n",
-    "src/app/foo.py": "from app.protos import z\n", "src/app/protos/z.py": "from app import foo\n",
+    "src/web/protos/x.py": "from web.protos import y\n", "src/web/protos/y.py": "from web.protos import x\n",
+    "src/web/foo.py": "from web.protos import z\n", "src/web/protos/z.py": "from web import foo\n",
 }
 MIXED = {
     "src/provider/__init__.py": "from provider import tree_user\n", "src/provider/tree_user.py": "import tree.contract\n",
