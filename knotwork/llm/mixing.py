@@ -41,7 +41,7 @@ class MixParams:
     slots_per_shard: int = 1024
     weights: tuple[tuple[str, float], ...] | None = None
     alpha: float = 0.7
-    bucket_tokens: int = 1 << 21
+    bucket_tokens: int = 1 << 18
     epochs: float = 1.0
     seed: int = 71
 
