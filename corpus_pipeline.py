@@ -20,8 +20,9 @@ def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of ten sites or more; a document left without text stays, as an empty one."""
-    return line_dedup.drop_boilerplate(docs).select(*docs.columns)
+    """Documents without lines of fifteen sites or more; one that loses all its text goes, as others hold each of its lines."""
+    cleaned = line_dedup.drop_boilerplate(docs)
+    return cleaned.where("removed_lines = 0 or trim(text) <> ''").select(*docs.columns)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,10 +19,11 @@ from knotwork.operators.lineage import cut
 
 @dataclass(frozen=True)
 class LineDedupParams:
-    """min_sites: distinct sites from which a line is boilerplate. log_registers: of a sketch. sigmas: of the sketch's
+    """min_sites: distinct sites from which a line is boilerplate; more than a few dozen copies of one document reach, so
+    that those are left to the removal of near duplicates. log_registers: of a sketch. sigmas: of the sketch's
     error on either side of min_sites within which sites are counted exactly."""
 
-    min_sites: int = 10
+    min_sites: int = 15
     log_registers: int = 12
     sigmas: float = 4.0
 
@@ -98,7 +99,7 @@ WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM documents
 ), bad AS (
   SELECT line, min(doc_id) AS keeper FROM lines WHERE line <> ''
-  GROUP BY line HAVING count(DISTINCT source) >= 10
+  GROUP BY line HAVING count(DISTINCT source) >= 15
 ), lost AS (
   SELECT l.doc_id, list(DISTINCT l.line) AS lost FROM lines l JOIN bad b ON l.line = b.line
   WHERE l.doc_id <> b.keeper GROUP BY l.doc_id

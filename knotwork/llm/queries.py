@@ -32,7 +32,7 @@ def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``documents`` without lines that stand on ten sites or more."""
+    """``documents`` without lines that stand on fifteen sites or more."""
     return line_dedup.drop_boilerplate(read(spark, sf_dir, "documents"))
 
 
