@@ -21,7 +21,7 @@ from knotwork.operators import trace as T
 from knotwork.operators.lineage import cut
 from knotwork.operators.scc import strong_components
 from knotwork.plans import data_graph as D
-from knotwork.plans import golden
+from knotwork.plans import golden, golden_project  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -111,7 +111,7 @@ def statistics(report: DataFrame) -> dict[str, DataFrame]:
 
 def source_lines(sources: DataFrame, wanted: DataFrame) -> DataFrame:
     """(path, line, text): the source of import lines (path, line); one that opens a parenthesis is joined up to its end."""
-    lines = F.transform(F.split(F.regexp_replace("source", "\r\n", "\n"), "\n"), F.trim)
+    lines = F.transform(F.split("source", "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
     rows = sources.where("source is not null").select(F.col("rel_path").alias("path"), lines.alias("lines")).dropDuplicates(["path"])
     met = wanted.select("path", "line").distinct().join(rows, "path").where("line between 1 and size(lines)")
     rest = F.slice("lines", F.col("line"), F.size("lines"))
