@@ -58,7 +58,7 @@ def apply_exclusions(nodes: DataFrame, edges: DataFrame, excluded: DataFrame, ta
 BEST = "start string, scc_id string, entry string, path array<string>"
 
 
-def _searcher(edges: list[tuple[str, str]], scc: dict[str, str], home: dict[str, str]):
+def _searcher(edges: list[tuple[str, str]], scc: dict[str, str]):
     """Shortest path from each start to each kept cycle; of equally short ones the first by path order of its nodes."""
     after: dict[str, list[str]] = {}
     for a, b in edges:
@@ -67,10 +67,7 @@ def _searcher(edges: list[tuple[str, str]], scc: dict[str, str], home: dict[str,
         after[a] = paths.sort_paths(after[a])
 
     def search(start: str) -> list[tuple]:
-        if start in scc:
-            own = scc[start]
-        else:
-            own = None
+        own = scc.get(start)
         came, todo, best = {start: None}, deque([start]), {}
         while todo:
             node = todo.popleft()
@@ -110,7 +107,7 @@ def best_paths(edges: DataFrame, cyclic: DataFrame, starts: DataFrame, task_edge
     if inner.count() <= task_edges:  # bounded, so every task is given the graph and searches its own starts
         graph = [(r["src"], r["dst"]) for r in inner.collect()]
         scc = {r["node"]: r["scc_id"] for r in cyclic.collect()}
-        return starts.mapInPandas(_searcher(graph, scc, {}), BEST)
+        return starts.mapInPandas(_searcher(graph, scc), BEST)
     own = cyclic.select(F.col("node").alias("start"), F.col("scc_id").alias("own"))
     seen = cut(starts.select(F.col("path").alias("start"), F.col("path").alias("node"), F.array("path").alias("path")), "paths")
     frontier = seen

@@ -68,6 +68,14 @@ def _search(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": list(root), "root": list(root.values())}, dtype="int64")
 
 
+def _search_paths(part: pd.DataFrame) -> pd.DataFrame:
+    root = tarjan(part["src"].tolist(), part["dst"].tolist())
+    first: dict = {}
+    for node, at in root.items():
+        first[at] = min(first.get(at, node), node, key=lambda p: p.split("/"))
+    return pd.DataFrame({"path": list(root), "scc_id": [first[at] for at in root.values()]}, dtype="object")
+
+
 def _trim(edges: DataFrame) -> DataFrame:
     """Edges whose begin has an edge into it and whose end has one out of it."""
     ins, outs = edges.select(F.col("v").alias("u")).distinct(), edges.select(F.col("u").alias("v")).distinct()
@@ -119,11 +127,8 @@ def color_components(edges: DataFrame) -> DataFrame:
 
 
 def component_roots(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
-    """(node, root) of edges (u LONG, v LONG): nodes of one strong component have one root. Nodes left out are alone."""
-    edges = cut(edges.where("u <> v").distinct(), "edges")
+    """(node, root) of distinct edges (u LONG, v LONG): nodes of one strong component have one root. Nodes left out are alone."""
     shape = "node long, root long"
-    if edges.count() <= task_edges:
-        return edges.groupBy().applyInPandas(_search, shape)
     for _ in range(TRIM_ROUNDS):
         edges = cut(_trim(edges), "trimmed")
     parts = connected_components(edges).select(F.col("node").alias("u"), "component")
@@ -140,12 +145,16 @@ def component_roots(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame
 def strong_components(nodes: DataFrame, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, scc_id) of every node (path) and every end of an edge (src, dst), alone or not.
 
-    scc_id is the first member in path order. Inside, a path is its 64-bit hash.
+    scc_id is the first member in path order. Beyond ``task_edges`` edges a path is its 64-bit hash inside.
     """
-    named = nodes.select("path").union(edges.select("src")).union(edges.select("dst")).distinct().select("path", F.xxhash64("path").alias("id"))
-    ids = edges.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v"))
+    named = nodes.select("path").union(edges.select("src")).union(edges.select("dst")).distinct()
+    pairs = cut(edges.select("src", "dst").where("src <> dst").distinct(), "edges")
+    if pairs.count() <= task_edges:
+        found = pairs.groupBy().applyInPandas(_search_paths, "path string, scc_id string")
+        return named.join(found, "path", "left").select(F.col("path").alias("node"), F.coalesce("scc_id", "path").alias("scc_id"))
+    ids = pairs.select(F.xxhash64("src").alias("u"), F.xxhash64("dst").alias("v"))
     roots = component_roots(ids, task_edges).select(F.col("node").alias("id"), "root")
-    placed = named.join(roots, "id", "left").select("path", F.coalesce("root", "id").alias("root"))
+    placed = named.select("path", F.xxhash64("path").alias("id")).join(roots, "id", "left").select("path", F.coalesce("root", "id").alias("root"))
     placed = cut(placed, "scc")
     first = placed.groupBy("root").agg(F.array_join(F.min(paths.path_key("path")), "/").alias("scc_id"))
     return placed.join(first, "root").select(F.col("path").alias("node"), "scc_id")
