@@ -148,12 +148,14 @@ class Model:
         out = np.full((len(begin), len(self.languages) + 1), -1e6, np.float32)
         if not len(begin):
             return out
-        found, n = grams(raw, begin, end, self.params)
-        first = np.cumsum(n) - n
-        for k in range(len(self.languages)):
-            out[:, k] = np.add.reduceat(self.logs[found, k], first)
+        for i in range(0, len(begin), 8192):  # n-grams take more room than the words they are of
+            part = slice(i, i + 8192)
+            found, n = grams(raw, begin[part], end[part], self.params)
+            first = np.cumsum(n) - n
+            for k in range(len(self.languages)):
+                out[part, k] = np.add.reduceat(self.logs[found, k], first)
+            out[part, -1] = n * self.unknown
         out[:, :-1][~self.allowed[scripts(raw, begin)]] = -1e6
-        out[:, -1] = n * self.unknown
         return out
 
 
