@@ -461,7 +461,7 @@ def unresolved_from(spark, sf_dir):
 
 
 @query(INDEX + MADE + """SELECT source, CASE WHEN target IN (SELECT module FROM ix) THEN target ELSE brand END AS target, line FROM st
-WHERE target IN (SELECT module FROM ix) OR brand IN (SELECT module FROM ix)""")
+WHERE (target IN (SELECT module FROM ix) AND target <> source) OR (target NOT IN (SELECT module FROM ix) AND brand IN (SELECT module FROM ix) AND brand <> source)""")
 def resolve_string_all(spark, sf_dir):
     """Strings by their longest prefix in the index; no dots are asked for here."""
     return R.resolve_strings(_raw(spark, sf_dir, "string"), _index(spark, sf_dir), "all", 0)
