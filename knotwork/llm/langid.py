@@ -307,7 +307,7 @@ def train(docs: DataFrame, p: LanguageParams = LanguageParams()) -> Model:
     return fit([r[3] for r in found], [r[0] for r in found], p)
 
 
-def identify(docs: DataFrame, p: LanguageParams = LanguageParams(), model: Model | None = None, carry: bool = False) -> DataFrame:
+def identify(docs: DataFrame, p: LanguageParams = LanguageParams(), model: Model | None = None) -> DataFrame:
     """(doc_id, language, accepted, known_share, n_words, spans) of every row of ``docs``.
 
     spans: runs of words of one label, with begin and end in characters of the text; 'und' labels words of no known

@@ -73,7 +73,7 @@ def candidates(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, repositories, owners, documents): how widely each hash is held; nulls hold nothing."""
+    """(hash, repositories, owners, corpus_occurrences): how widely each hash is held; nulls hold nothing."""
     held = found.groupBy("hash", "repository", "owner").agg(F.sum("occurrences").alias("n"))
     return held.groupBy("hash").agg(
         F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"), F.sum("n").alias("corpus_occurrences")
