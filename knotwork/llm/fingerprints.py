@@ -23,22 +23,27 @@ from knotwork.llm._text import BASE, INVERSE, MASK, batches, buffers, cached_pow
 from knotwork.operators.lineage import cut
 
 CHUNKED = "doc_id long, class long, total long, chunks array<bigint>"
-WINDOW = 32  # bytes that a gear hash of 32 bits depends on
 
 
 @dataclass(frozen=True)
 class ChunkParams:
     """Bytes of a chunk: least, usual, most. normal: bits by which boundaries get rarer before the usual size and more
-    frequent after it. threshold: least share of a document's length that another must hold to contain it."""
+    frequent after it. window: bytes that a boundary depends on. threshold: least share of a document's length that another
+    must hold to contain it."""
 
     least: int = 64
     usual: int = 256
     most: int = 2048
     normal: int = 2
+    window: int = 32
     threshold: float = 0.8
     seed: int = 12
 
 
+#: For documents of one or two thousand bytes: an edit, or either end of a passage inside another text, costs tens of bytes.
+FINE = ChunkParams(least=12, usual=24, most=192, normal=1, window=10)
+
+
 def gear_table(seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -53,9 +58,9 @@ def gear_hashes(raw: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def boundaries(raw: np.ndarray, at: np.ndarray, p: ChunkParams) -> tuple[np.ndarray, np.ndarray]:
-    """(begins of chunks in all rows, where each row's chunks begin). ``least`` is beyond the hash's window, so a row's
+    """(begins of chunks in all rows, where each row's chunks begin). ``least`` is beyond the window, so a row's
     chunks depend on that row alone."""
-    h = gear_hashes(raw, gear_table(p.seed))
+    h = gear_hashes(raw, gear_table(p.seed)) << np.uint32(32 - p.window)  # the low bits depend on the last bytes only
     bits = int(np.log2(p.usual))
     top = lambda n: np.uint32(((1 << n) - 1) << (32 - n))
     easy = np.flatnonzero((h & top(bits - p.normal)) == 0)
@@ -120,30 +125,31 @@ def _chunker(p: ChunkParams):
 def fingerprints(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     """(doc_id, class, total, chunks) of every row with a text: its set of digests, sorted, their lengths' sum, and a name
     that rows of equal sets share. Null and empty texts have none."""
-    if p.most > 0xFFFF or p.least <= WINDOW:
-        raise ValueError("a chunk has more than 32 bytes and at most 65535")
+    if p.most > 0xFFFF or not p.usual.bit_length() + p.normal <= p.window <= min(32, p.least - 1):
+        raise ValueError("a chunk has at most 65535 bytes and more than the window, and the window holds the bits of a boundary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_chunker(p), CHUNKED)
 
 
-def class_containment(classes: DataFrame, p: ChunkParams) -> DataFrame:
-    """(class, container, shared) of classes whose chunks another class holds to ``threshold`` of their length."""
-    chunk = F.explode("chunks").alias("chunk")
-    spread = classes.select("class", "total", chunk).withColumn("df", F.count("*").over(W.partitionBy("chunk"))).where("df > 1")
+def class_containment(held: DataFrame, classes: DataFrame, p: ChunkParams) -> DataFrame:
+    """(class, container, shared) of classes whose chunks another class holds to ``threshold`` of their length. held:
+    (class, chunk), repeated rows count once; classes: (class, total)."""
     length = F.col("chunk").bitwiseAND(0xFFFF)
-    own = W.partitionBy("class")
-    hopeful = (
-        cut(spread, "chunks")
-        .withColumn("shareable", F.sum(length).over(own))
-        .withColumn("before", F.coalesce(F.sum(length).over(own.orderBy("df", "chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-        .where(F.col("shareable") >= p.threshold * F.col("total"))
-    )
+    df = F.count("*").over(W.partitionBy("chunk"))
+    spread = held.repartition("chunk").distinct().withColumn("df", df).where("df > 1")
+    # two classes have no other chunks in common than these
+    common = cut(spread.groupBy("class").agg(F.collect_list("chunk").alias("chunks"), F.collect_list("df").alias("dfs"), F.sum(length).alias("shareable")), "chunks")
+    hopeful = common.join(classes, "class").where(F.col("shareable") >= p.threshold * F.col("total"))
+    own = W.partitionBy("class").orderBy("df", "chunk").rowsBetween(W.unboundedPreceding, -1)
+    items = hopeful.select("class", "total", "shareable", F.explode(F.arrays_zip("chunks", "dfs")).alias("x"))
+    ordered = items.select("class", "total", "shareable", F.col("x.chunks").alias("chunk"), F.col("x.dfs").alias("df"))
+    ordered = ordered.withColumn("before", F.coalesce(F.sum(length).over(own), F.lit(0)))
     # chunks of df 1 come first in the order of rarity: they are what is missing from shareable
-    seekers = hopeful.where(F.col("before") + F.col("total") - F.col("shareable") <= (1 - p.threshold) * F.col("total"))
-    holders = classes.select(F.col("class").alias("container"), chunk)
+    seekers = ordered.where(F.col("before") + F.col("total") - F.col("shareable") <= (1 - p.threshold) * F.col("total"))
+    holders = common.select(F.col("class").alias("container"), F.explode("chunks").alias("chunk"))
     pairs = seekers.select("class", "chunk").join(holders, "chunk").where("class <> container").select("class", "container").distinct()
-    a = classes.select("class", "total", F.col("chunks").alias("a"))
-    b = classes.select(F.col("class").alias("container"), F.col("chunks").alias("b"))
+    a = hopeful.select("class", "total", F.col("chunks").alias("a"))
+    b = common.select(F.col("class").alias("container"), F.col("chunks").alias("b"))
     both = F.aggregate(F.array_intersect("a", "b"), F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(0xFFFF))
     return (
         pairs.join(a, "class")
@@ -163,9 +169,8 @@ def containment(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     texts contain nothing and are in nothing; rows of one id and set count once. Other columns are ignored.
     """
     made = cut(fingerprints(docs, p), "fingerprints")
-    classes = cut(made.groupBy("class").agg(F.min("doc_id").alias("name"), F.first("total").alias("total"), F.first("chunks").alias("chunks")), "classes")
-    found = class_containment(classes.select("class", "total", "chunks"), p)
-    names = classes.select("class", "name", "total")
+    names = cut(made.groupBy("class").agg(F.min("doc_id").alias("name"), F.first("total").alias("total")), "classes")
+    found = class_containment(made.select("class", F.explode("chunks").alias("chunk")), names.select("class", "total"), p)
     outer = found.join(names.select(F.col("class").alias("container"), F.col("name").alias("container_id")), "container").select("class", "container_id", "shared")
     members = made.select("doc_id", "class").distinct()
     several = members.join(names, "class").where(~F.col("doc_id").eqNullSafe(F.col("name"))).select(

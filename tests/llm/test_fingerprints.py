@@ -62,3 +62,44 @@ def test_messy_rows(messy, make):
     found = {(r["doc_id"], r["container_id"], r["containment"]) for r in Z.containment(messy).collect()}
     assert {(2, 1, 1.0), (None, 1, 1.0)} <= found and all(d not in (3, 4) for d, _, _ in found)
     assert Z.containment(make([])).count() == 0
+
+
+def held(inner, outer, p):
+    a, b = map(set, sets([inner, outer], p))
+    return sum(x & 0xFFFF for x in a & b) / sum(x & 0xFFFF for x in a)
+
+
+def word_grams(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+
+
+def edited(text, seed, edits=2):
+    words = text.split()
+    rng = np.random.default_rng(seed)
+    for i in rng.choice(len(words), edits, replace=False):
+        words[i] = "changed"
+    return " ".join(words)
+
+
+def test_recall_of_embedded_and_edited_documents(prose):
+    inside, changed = [], []
+    for i in range(100):
+        text = prose(1000 + i, 150 + i)  # about 1000 to 1700 characters
+        around = prose(5000 + i, 300)
+        middle = around.index(" ", len(around) // 2)
+        inside.append(held(text, around[:middle] + " " + text + around[middle:], Z.FINE) >= Z.FINE.threshold)
+        other = edited(text, i)
+        a, b = word_grams(text), word_grams(other)
+        assert len(a & b) >= 0.9 * len(a)
+        changed.append(held(text, other, Z.FINE) >= Z.FINE.threshold)
+    assert np.mean(inside) >= 0.97 and np.mean(changed) >= 0.97
+
+
+def test_query_finds_an_embedded_document(spark, make, prose, tmp_path):
+    from knotwork.llm.queries import op7_fingerprints
+
+    text = prose(1, 190)
+    make([(1, text), (2, prose(2, 200) + " " + text + " " + prose(3, 200)), (3, edited(text, 4))]).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["doc_id"], r["container_id"]) for r in op7_fingerprints(spark, str(tmp_path)).collect()}
+    assert {(1, 2), (1, 3), (3, 1)} <= found
