@@ -1,8 +1,8 @@
 """Near-duplicate embeddings by a pivot-permutation index: nearest pivots in order, inverted lists, shared counts, verification.
 
 Scale: pivots are 4 * sqrt(n) vectors, ``max_pivots`` at most, so that what each worker is given is bounded and lists grow
-with the square root of the input. A vector travels to the lists of its nearest pivots as one byte a dimension; its exact
-numbers move once more, for pairs that the bytes leave in. A list is examined in blocks by matrix products, and gives
+with the square root of the input. A vector travels to the lists of its nearest pivots as two bytes a dimension; its exact
+numbers move once more, for pairs that those leave in. A list is examined in blocks by matrix products, and gives
 back links that connect what all its verified pairs would connect, so a cluster of n copies costs n links. Equal vectors
 are one from the start.
 """
@@ -23,6 +23,9 @@ from knotwork.operators.components import connected_components
 from knotwork.operators.lineage import cut
 
 
+STEPS = 32767  # on either side of zero, by which a vector's numbers are rounded in the lists
+
+
 @dataclass(frozen=True)
 class EmbeddingParams:
     """threshold: least cosine. prefix: nearest pivots that describe a vector. shared: pivots that a pair must have in
@@ -59,8 +62,8 @@ def _indexer(pivots: np.ndarray, prefix: int):
                 near = np.argpartition(-close, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(x), 1))
                 order = np.argsort(-np.take_along_axis(close, near, 1), axis=1, kind="stable")
                 near = np.take_along_axis(near, order, 1).astype(np.int32)
-                scale = 127 / np.abs(x).max(axis=1, keepdims=True)
-                small = np.rint(x * scale).astype(np.int8)
+                scale = STEPS / np.abs(x).max(axis=1, keepdims=True)
+                small = np.rint(x * scale).astype(np.int16)
                 row = np.repeat(np.arange(len(x)), k)
                 codes = pa.array([r.tobytes() for r in small], pa.binary())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * k), pa.array(near.reshape(-1)))
@@ -82,8 +85,15 @@ def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return one @ two.T
 
 
-def list_links(near: np.ndarray, x: np.ndarray, least: float, shared: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) within a list that connect all its pairs with enough shared pivots and a cosine of ``least``."""
+def slack(dimensions: int) -> float:
+    """What rounding may take from a cosine or add to it, and more."""
+    return 2.5 * dimensions**0.5 / STEPS + 1e-5
+
+
+def list_links(near: np.ndarray, x: np.ndarray, least: float, shared: int, block: int, sure: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) within a list that connect all its pairs with enough shared pivots and a cosine of ``least``. Links
+    under ``sure`` may prove false: they are given, and nothing is reached by them."""
+    sure = least if sure is None else sure
     n = len(x)
     busy = np.zeros(n, dtype=bool)
     for i in range(0, n, block):
@@ -100,21 +110,22 @@ def list_links(near: np.ndarray, x: np.ndarray, least: float, shared: int, block
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            hit = x[left] @ x[at] >= least
+            cosine = x[left] @ x[at]
+            hit = cosine >= least
             if hit.any():
                 which = np.flatnonzero(hit)
                 which = which[shared_counts(near[left[which]], near[at : at + 1])[:, 0] >= shared]
                 found = left[which]
                 us.append(np.full(len(found), at))
                 vs.append(found)
-                left = np.delete(left, which)
-                queue.extend(found.tolist())
+                reached = which[cosine[which] >= sure]
+                queue.extend(left[reached].tolist())
+                left = np.delete(left, reached)
     empty = np.zeros(0, np.int64)
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
 def _lister(p: EmbeddingParams):
-    least = p.threshold - 0.02  # what rounding to bytes may take from a cosine, and more
     shared = p.shared
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,11 +135,12 @@ def _lister(p: EmbeddingParams):
             table = table.combine_chunks()
             pivot, node = table["pivot"].to_numpy(), table["node"].to_numpy()
             near = np.asarray(table["near"].combine_chunks().flatten()).reshape(len(node), -1)
-            x = _unit(np.frombuffer(b"".join(table["code"].to_pylist()), np.int8).reshape(len(node), -1).astype(np.float32))
+            x = _unit(np.frombuffer(b"".join(table["code"].to_pylist()), np.int16).reshape(len(node), -1).astype(np.float32))
+            off = slack(x.shape[1])
             edge = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1], [True]]))
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                a, b = list_links(near[i:j], x[i:j], least, min(shared, near.shape[1]), p.block)
+                a, b = list_links(near[i:j], x[i:j], p.threshold - off, min(shared, near.shape[1]), p.block, p.threshold + off)
                 us.append(node[i:j][a])
                 vs.append(node[i:j][b])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])

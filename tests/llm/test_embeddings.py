@@ -46,3 +46,31 @@ def test_messy_vectors(spark):
     found = V.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
     assert sorted((r["vec_id"] or 0, r["group_id"], r["keep"]) for r in found) == [(0, 1, False), (1, 1, True), (2, 1, False), (2, 1, False)]
     assert V.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_hot_cluster_around_the_threshold(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centre, noise = unit(rng.normal(size=(1, 64))), rng.normal(size=(400, 64))
+    noise = unit(noise - (noise @ centre.T) * centre)
+    x = unit(np.concatenate([rng.normal(size=(600, 64)), 0.935 * centre + (1 - 0.935**2) ** 0.5 * noise])).astype(np.float32)
+    near = np.tile(np.arange(3, dtype=np.int32), (len(x), 1))  # all pivots in common: every pair is a candidate
+    exact = x.astype(np.float64)
+    close = np.triu(exact @ exact.T / np.outer(*[np.linalg.norm(exact, axis=1)] * 2) >= 0.9, 1)
+    small = np.rint(x * (V.STEPS / np.abs(x).max(axis=1, keepdims=True))).astype(np.float32)
+    off = V.slack(64)
+    u, v = V.list_links(near, unit(small), 0.9 - off, 3, 256, 0.9 + off)
+    true = close[np.minimum(u, v), np.maximum(u, v)]
+    group = np.arange(len(x))
+    for _ in range(len(x)):
+        before = group.copy()
+        for a, b in zip(u[true], v[true]):
+            group[a] = group[b] = min(group[a], group[b])
+        if (before == group).all():
+            break
+    a, b = np.nonzero(close)
+    assert len(a) > 1000 and (group[a] == group[b]).all()
+    assert len(u) < 3 * len(x)
+    p = V.EmbeddingParams(prefix=3, max_pivots=3)  # one list of all
+    found = {r["vec_id"]: r["group_id"] for r in V.near_duplicates(frame(spark, x), p).collect()}
+    assert all(i in found and found[i] == found.get(j) for i, j in zip(a.tolist(), b.tolist()))
