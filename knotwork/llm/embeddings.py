@@ -164,8 +164,8 @@ def near_duplicates(vectors: DataFrame, p: EmbeddingParams = EmbeddingParams())
     Rows are linked if their vectors have ``shared`` of their ``prefix`` nearest pivots in common and a cosine of
     ``threshold`` at least; groups are connected components. group_id is the least vec_id of the group and that row is
     kept, null ids come last; of rows with that id one is kept. Vectors that are null, empty, zero, hold a null or a
-    number that isn't finite, or have not the most frequent length, are in no group. Equal vectors are always linked. Other
-    columns are ignored.
+    number that isn't finite are in no group. Vectors of different lengths are never linked; each length has an index of
+    its own. Equal vectors are always linked. Other columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<float>")
@@ -174,25 +174,24 @@ def near_duplicates(vectors: DataFrame, p: EmbeddingParams = EmbeddingParams())
         v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0)
     )
     rows = cut(rows.select("vec_id", F.xxhash64("v").alias("node"), "v"), "vectors")
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    empty = "vec_id long, group_id long, group_size long, keep boolean"
-    if size is None:
-        return spark.createDataFrame([], empty)
-    nodes = rows.where(F.size("v") == size["n"]).groupBy("node").agg(F.any_value("v").alias("v"))
-    nodes = cut(nodes, "nodes")
-    many = int(min(p.max_pivots, max(16, p.pivots_per_root * nodes.count() ** 0.5)))
-    chosen = nodes.orderBy(F.xxhash64(F.lit(p.seed), "node"), "node").limit(many).select("v").toPandas()["v"]
-    pivots = _unit(np.stack(chosen.to_list()).astype(np.float32))
-
-    lists = nodes.select("node", "v").mapInArrow(_indexer(pivots, p.prefix), "pivot int, node long, near array<int>, code binary")
-    found = lists.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(_lister(p), "u long, v long").distinct()
+    nodes = cut(rows.groupBy("node").agg(F.any_value("v").alias("v")), "nodes")
+    lengths = nodes.groupBy(F.size("v").alias("n")).count().where("count > 1").orderBy("n").collect()  # a row a length
+    found = spark.createDataFrame([], "u long, v long")
+    for length in lengths:
+        own = nodes.where(F.size("v") == length["n"])
+        many = int(min(p.max_pivots, max(16, p.pivots_per_root * length["count"] ** 0.5)))
+        chosen = own.orderBy(F.xxhash64(F.lit(p.seed), "node"), "node").limit(many).select("v").toPandas()["v"]
+        pivots = _unit(np.stack(chosen.to_list()).astype(np.float32))
+        lists = own.select("node", "v").mapInArrow(_indexer(pivots, p.prefix), "pivot int, node long, near array<int>, code binary")
+        found = found.union(lists.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(_lister(p), "u long, v long"))
+    found = found.distinct()
     a = nodes.select(F.col("node").alias("u"), F.col("v").alias("x"))
     b = nodes.select(F.col("node").alias("v"), F.col("v").alias("y"))
     dot = lambda s, t: F.aggregate(F.zip_with(s, t, lambda m, n: m.cast("double") * n.cast("double")), F.lit(0.0), lambda acc, z: acc + z)
     cosine = dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y"))
     links = found.join(a, "u").join(b, "v").where(cosine >= p.threshold).select("u", "v")
     parts = connected_components(links)
-    member = rows.where(F.size("v") == size["n"]).select("vec_id", "node").join(parts, "node", "left")
+    member = rows.select("vec_id", "node").join(parts, "node", "left")
     group = W.partitionBy("group")
     named = member.select("vec_id", F.coalesce("component", "node").alias("group")).select(
         "vec_id",

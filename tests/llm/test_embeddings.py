@@ -74,3 +74,12 @@ def test_hot_cluster_around_the_threshold(spark):
     p = V.EmbeddingParams(prefix=3, max_pivots=3)  # one list of all
     found = {r["vec_id"]: r["group_id"] for r in V.near_duplicates(frame(spark, x), p).collect()}
     assert all(i in found and found[i] == found.get(j) for i, j in zip(a.tolist(), b.tolist()))
+
+
+def test_each_length_is_indexed(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(8, 16)), rng.normal(size=(4, 24))
+    rows = [*x, *(x[:3] * 2), *y, y[0], y[1] + 0.001]
+    table = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: r["group_id"] for r in V.near_duplicates(table).collect()}
+    assert found == {0: 0, 8: 0, 1: 1, 9: 1, 2: 2, 10: 2, 11: 11, 15: 11, 12: 12, 16: 12}
