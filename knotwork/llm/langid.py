@@ -1,7 +1,7 @@
 """Language of spans of text: scripts narrow the candidates, n-grams score words, Viterbi with a switching penalty labels.
 
 The model is fitted on a bounded sample of labelled rows (``per_language`` documents of each language): byte n-grams of
-words, and a score for "no known language" set below what held-out documents of the sample reach.
+words, and a score for "no known language" set below what all but a few held-out documents of the sample reach.
 
 Scale: one scan of (doc_id, lang) picks the sample, whose texts are the only rows that reach the driver; the model is a
 few hundred kilobytes. Labelling has no shuffle: words are scored once per slice, and the Viterbi steps of all documents
@@ -54,13 +54,14 @@ RANGES = (
 @dataclass(frozen=True)
 class LanguageParams:
     """per_language: documents of each language in the sample, at most. buckets: of hashed n-grams. switch: cost of a new
-    label in the middle of a text, in nats. slack: nats an n-gram below the worst held-out document at which a word is
-    better taken as of no known language. accept: least share of words in known languages."""
+    label in the middle of a text, in nats. worst: share of held-out documents that may be junk. slack: nats an n-gram below
+    the others at which a word is better taken as of no known language. accept: least share of words in known languages."""
 
     per_language: int = 300
     buckets: int = 1 << 15
     grams: tuple[int, ...] = (2, 3, 4)
     switch: float = 12.0
+    worst: float = 0.05
     slack: float = 1.5
     accept: float = 0.3
     seed: int = 5
@@ -164,13 +165,13 @@ def fit(texts: list[str], languages: list[str], p: LanguageParams = LanguagePara
     names = sorted(set(languages))
     counts = np.full((p.buckets, len(names)), 0.5)
     allowed = np.zeros((len(SCRIPTS), len(names)), dtype=bool)
-    held: list[tuple[int, str]] = []
+    held: list[str] = []
     for k, name in enumerate(names):
         own = [t for t, x in zip(texts, languages) if x == name]
         used = np.zeros(len(SCRIPTS))
         for i, text in enumerate(own):
             if i % 3 == 2:
-                held.append((k, text))
+                held.append(text)
                 continue
             at, raw = buffers(pc.utf8_lower(pa.array([text])))
             begin, end = find_words(raw, at)
@@ -181,13 +182,16 @@ def fit(texts: list[str], languages: list[str], p: LanguageParams = LanguagePara
         allowed[:, k] = used > 0.05 * max(1, used.sum())
     model = Model(names, np.log(counts / counts.sum(axis=0)).astype(np.float32), allowed, -1e3, p)
     means = []
-    for k, text in held:
+    for text in held:
         at, raw = buffers(pc.utf8_lower(pa.array([text])))
         begin, end = find_words(raw, at)
         if len(begin) >= 20:
-            found, _ = grams(raw, begin, end, p)
-            means.append(float(model.logs[found, k].mean()))
-    model.unknown = (min(means) if means else float(np.log(0.5 / p.buckets))) - p.slack
+            _, n = grams(raw, begin, end, p)
+            best = model.word_scores(raw, begin, end)[:, :-1].max(axis=1)  # texts in two languages are not junk
+            known = best > -1e6
+            if known.any():
+                means.append(float(best[known].sum() / n[known].sum()))
+    model.unknown = (float(np.quantile(means, p.worst)) if means else float(np.log(0.5 / p.buckets))) - p.slack
     return model
 
 

@@ -73,3 +73,18 @@ def test_trained_in_place_and_messy(make, messy):
 
 def test_empty_table(make):
     assert L.identify(make([])).count() == 0 and L.keep_known(make([])).count() == 0
+
+
+def test_foreign_languages_go_though_the_sample_holds_mixed_and_junk_documents():
+    foreign = "kari molu teka resu nalo misa tolu".split()  # of letters and some syllables of aa
+    rng = random.Random(3)
+    sample = labelled(120)
+    sample += [(9000 + i, text("aa", 500 + i, 30) + " " + text("bb", 500 + i, 30), "aa") for i in range(9)]
+    sample += [(9500 + i, " ".join("".join(rng.choices("qxzjvwkpy", k=6)) for _ in range(40)), "aa") for i in range(3)]
+    m = L.fit([r[1] for r in sample], [r[2] for r in sample])
+    prose = [" ".join(a + b for a, b in zip(rng.choices("vop gim dax fyl hub jeq".split(), k=60), rng.choices(foreign, k=60))) for _ in range(30)]
+    rows = prose + [text("aa", 2000 + i, 30) + " " + text("cc", 2000 + i, 30) for i in range(30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], names=["doc_id", "text"])
+    found = pa.Table.from_batches(L._labeller(m)([batch])).to_pylist()
+    assert not any(f["accepted"] for f in found[:30])
+    assert all(f["known_share"] > 0.95 for f in found[30:])
