@@ -22,6 +22,17 @@ def test_verdicts(make):
     assert [r["verdict"] for r in live] == ["live_looking"]
 
 
+def test_private_keys_are_told_apart(make):
+    pem = lambda body, kind="RSA ": f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    rows = [(i, "x " + pem(f"MIIE{i}abc\nDEF{i}"), "en", f"s{i}") for i in range(4)]
+    rows += [(5, pem("MIIE0abc\r\n  DEF0"), "en", "s0"), (6, pem("Z9", "ENCRYPTED "), "en", "a"), (8, "-----BEGIN RSA PRIVATE KEY-----\nMIIE cut. Prose", "en", "c"),
+             (7, "-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: x-1\n\nlQ\n-----END PGP PRIVATE KEY BLOCK-----", "en", "b"), (9, pem("A1") + pem("A2"), "en", "d")]
+    found = [r for r in K.scan(make(rows)).collect() if r["kind"] == "private_key"]
+    assert {r["doc_id"] for r in found} == set(range(10)) - {4} and len(found) == 10
+    assert all(r["verdict"] == "live_looking" and r["owners"] == 1 for r in found) and len({r["hash"] for r in found}) == 9
+    assert {r["hash"] for r in found if r["doc_id"] in (0, 5)} == {hashlib.sha256(b"MIIE0abcDEF0").hexdigest()}
+
+
 def test_secrets_messy(messy, make):
     assert K.scan(messy).count() == 0 and K.scan(make([])).count() == 0
 
