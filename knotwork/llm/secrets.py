@@ -23,7 +23,11 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("stripe_key", r"\b([rs]k_(?:live|test)_[0-9A-Za-z]{16,64})\b"),
     ("json_web_token", r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})\b"),
     ("private_key", r"(-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END|(?=-----BEGIN)|\z))"),
-    ("assigned_secret", r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[ ]?[=:][ ]?[\"']([0-9A-Za-z+/=_.-]{16,128})[\"']"),
+    (
+        "assigned_secret",  # with a name before and after the word, in JSON, and without quotes unless a call or an index follows
+        r"(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[A-Za-z0-9_.-]{0,64}(?:\\?[\"'])?[ \t]*(?:=>|:=|[=:])[ \t]*"
+        r"(?:\\?[\"']|(?=[0-9A-Za-z+/_]))([0-9A-Za-z+/=_.-]{15,127}[0-9A-Za-z+/=_.-](?<!\.(?![\"'\\])))(?![0-9A-Za-z+/=_(\[-]|\.[0-9A-Za-z])",
+    ),
 )
 
 
@@ -112,11 +116,11 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-#: The SQL finds less: of private keys the header only. Only syntax that Java and RE2 read alike.
+#: The SQL finds less: of private keys the header only, and quoted values after bare names. Only syntax that Java and RE2 read alike.
 ORACLE_PATTERNS = (
     *PATTERNS[:6],
     ("private_key", r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)"),
-    *PATTERNS[7:],
+    ("assigned_secret", r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[ ]?[=:][ ]?[\"']([0-9A-Za-z+/=_.-]{16,128})[\"']"),
 )
 ORACLE = (
     "WITH found AS (\n"

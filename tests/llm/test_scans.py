@@ -33,6 +33,16 @@ def test_private_keys_are_told_apart(make):
     assert {r["hash"] for r in found if r["doc_id"] in (0, 5)} == {hashlib.sha256(b"MIIE0abcDEF0").hexdigest()}
 
 
+def test_usual_forms_of_assigned_secrets(make):
+    value = "0123456789abcdefABCDEF"
+    forms = ['token = "%s"', 'DB_PASSWORD="%s"', "client_secret = '%s'", 'auth_token="%s"', 'aws_secret_access_key = "%s"', '{"password": "%s"}', "API_KEY=%s", "API_KEY=%s\nx",
+             "export my.api-key_2:\t%s", "the password: %s.", '{\\"token\\": \\"%s\\"}', "'secret'   =>  '%s'", "secretKey := %s;"]
+    found = {r["doc_id"]: r for r in K.scan(make([(i, form % value) for i, form in enumerate(forms)])).collect()}
+    assert set(found) == set(range(len(forms)))
+    assert {r["hash"] for r in found.values()} == {hashlib.sha256(value.encode()).hexdigest()}
+    assert K.scan(make([(1, "token = read_token_from_environment()"), (2, "secret = settings.values_of_all[0]"), (3, 'password = "short"')])).count() == 0
+
+
 def test_secrets_messy(messy, make):
     assert K.scan(messy).count() == 0 and K.scan(make([])).count() == 0
 
