@@ -7,6 +7,7 @@ parsed to the end of its line only, as an expression never goes further.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -107,6 +108,10 @@ PRECEDENCE = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 
 
+#: What stands between two words of a wrapped notice: white space, and comment marks where a line begins.
+BETWEEN = re.compile(r"\s*\n\s*(?:[#*/;%!>|<-]+\s*)*|\s+")
+
+
 class ExpressionError(ValueError):
     """The text isn't a licence expression."""
 
@@ -203,20 +208,28 @@ def scan_text(text: str, finder: ahocorasick.Automaton) -> tuple[list[str], list
     lowered = text.lower()
     if len(lowered) != len(text):  # a letter whose lower case is longer: keep positions
         lowered = "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
+    folded = BETWEEN.sub(" ", lowered)
     hits = []
-    for last, (kind, license_id, phrase) in finder.iter(lowered):
+    for last, (kind, license_id, phrase) in finder.iter(folded):
         first = last - len(phrase) + 1
-        if first and _word_char(lowered[first - 1]) or kind == "notice" and last + 1 < len(lowered) and _word_char(lowered[last + 1]):
+        if first and _word_char(folded[first - 1]) or kind == "notice" and last + 1 < len(folded) and _word_char(folded[last + 1]):
             continue
         hits.append((first, last, kind, license_id, phrase))
     if not hits:
         return None
+    blanks, shifts = [], [0]  # places of blanks in folded that stand for more, and how far what follows them was moved
+    for m in BETWEEN.finditer(lowered):
+        if m.end() - m.start() > 1:
+            blanks.append(m.start() - shifts[-1])
+            shifts.append(shifts[-1] + m.end() - m.start() - 1)
+    place = lambda i: i + shifts[bisect_left(blanks, i)]
     hits.sort(key=lambda h: (h[0], -h[1]))
     matches, licenses, expressions, met, reach = [], [], [], [], -1
     for first, last, kind, license_id, phrase in hits:
         if first <= reach:
             continue
         reach = last
+        first, last = place(first), place(last)
         if kind == "notice":
             matches.append(("notice", license_id, phrase, first))
             licenses.append(license_id)
@@ -269,7 +282,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     licenses: identifiers, sorted, each once. expressions: what follows identifier tags, in normal form. permissive: every
     notice and expression can be met by permissive terms; a tag whose expression can't be parsed is not permissive, and is
-    listed as 'broken_tag'. matches: in order of place, ``at`` in characters. White space in a phrase is one blank exactly.
+    listed as 'broken_tag'. matches: in order of place, ``at`` in characters. A notice may be wrapped, indented or behind comment marks.
     Rows with null or empty texts, or without a match, are left out; repeated rows each give a row. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

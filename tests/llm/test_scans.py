@@ -107,3 +107,16 @@ def test_scan_against_plain_search(make):
 
 def test_licenses_messy(messy, make):
     assert S.scan(messy).count() == 0 and S.scan(make([])).count() == 0
+
+
+def test_wrapped_notices():
+    finder = S.automaton()
+    for text, name in [
+        ("x\n/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy */", "MPL-2.0"),
+        ("# under the terms of the GNU\n#   General Public License,\r\n#\n# version 3 of it", "GPL-3.0-only"),
+        ("  // the GNU Affero  General\n  // Public\tLicense version 3.", "AGPL-3.0-only"),
+    ]:
+        found = S.scan_text(text, finder)
+        assert found[0] == [name] and text[found[3][0][3] :].lower().startswith(("mozilla", "gnu"))
+    found = S.scan_text("a  b\n\n#  SPDX-License-Identifier:  MIT\n# ISC", finder)
+    assert found[1] == ["MIT"] and found[3] == [("tag", "MIT", "spdx-license-identifier:", 9)]
