@@ -195,17 +195,23 @@ def fit(texts: list[str], languages: list[str], p: LanguageParams = LanguagePara
     return model
 
 
+def label_type(states: int) -> np.dtype:
+    """The least integer type that numbers so many labels."""
+    return np.min_scalar_type(-max(states, 2))
+
+
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     """The best label of every word of every row; row i has words at[i]:at[i + 1]."""
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     n, first = n[order], at[:-1][order]
     states = scores.shape[1]
-    label = np.zeros(len(scores), np.int8)
+    small = label_type(states)
+    label = np.zeros(len(scores), small)
     if not len(n) or not n[0]:
         return label
-    back = np.empty((len(scores), states), np.int8)
-    own = np.arange(states, dtype=np.int8)
+    back = np.empty((len(scores), states), small)
+    own = np.arange(states, dtype=small)
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # rows longer than t
     value = scores[first[: active[0]]].astype(np.float64)
     final = np.zeros((len(n), states))
@@ -218,10 +224,10 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
         best = value.argmax(axis=1)
         top = value[np.arange(live), best] - switch
         move = value < top[:, None]
-        back[word] = np.where(move, best[:, None].astype(np.int8), own)
+        back[word] = np.where(move, best[:, None].astype(small), own)
         value = np.where(move, top[:, None], value) + scores[word]
     final[: len(value)] = value
-    state = final.argmax(axis=1).astype(np.int8)
+    state = final.argmax(axis=1).astype(small)
     for t in range(int(n[0]) - 1, -1, -1):
         live = active[t]
         word = first[:live] + t
@@ -237,7 +243,7 @@ def label_rows(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, n
     begin, end = find_words(raw, at)
     rows = np.searchsorted(begin, at)
     if not len(begin):
-        return np.zeros(0, np.int8), rows, begin, end, np.zeros(len(at), np.int64)
+        return np.zeros(0, np.int64), rows, begin, end, np.zeros(len(at), np.int64)
     total = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * cached_powers(BASE, len(raw)), out=total[1:])
     names = (total[end] - total[begin]) * cached_powers(INVERSE, len(raw) + 1)[begin]

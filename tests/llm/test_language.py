@@ -88,3 +88,85 @@ def test_foreign_languages_go_though_the_sample_holds_mixed_and_junk_documents()
     found = pa.Table.from_batches(L._labeller(m)([batch])).to_pylist()
     assert not any(f["accepted"] for f in found[:30])
     assert all(f["known_share"] > 0.95 for f in found[30:])
+
+
+def test_two_hundred_languages():
+    import numpy as np
+
+    states = 201
+    scores = np.full((40, states), -50.0)
+    for word, best in enumerate([180] * 20 + [130] * 20):
+        scores[word, best] = -1
+    assert L.viterbi(scores, np.array([0, 40]), 12.0).tolist() == [180] * 20 + [130] * 20
+    names = [f"l{i:03}" for i in range(200)]
+    m = L.Model(names, np.full((64, 200), -9.0, np.float32), np.ones((len(L.SCRIPTS), 200), bool), -20.0, L.LanguageParams(buckets=64))
+    m.logs[:, 180] = -1
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])] + [pa.array(["ab cd ef", ""])], names=["doc_id", "text"])
+    assert [f["language"] for f in pa.Table.from_batches(L._labeller(m)([batch])).to_pylist()] == ["l180", "und"]
+
+
+def plain_labels(text, m):
+    """(label of each word, (begin, end) of each word) by loops over characters, n-grams and all pairs of labels."""
+    words, at = [], 0
+    letter = lambda c: c.isascii() and c.isalpha() or not c.isascii()
+    lowered = "".join(c.lower()[0] for c in text)
+    while at < len(lowered):
+        stop = at
+        while stop < len(lowered) and letter(lowered[stop]):
+            stop += 1
+        if stop > at:
+            words.append((at, stop))
+        at = max(stop, at + 1)
+    table = []
+    for begin, end in words:
+        word = lowered[begin:end]
+        script = next((name for low, high, name in L.RANGES if low <= ord(word[0]) <= high), "Zyyy")
+        padded = b" " + word.encode() + b" "
+        found = []
+        for n in m.params.grams:
+            for i in range(len(padded) - n + 1):
+                x = (int.from_bytes(padded[i : i + n], "big") + (n << 56)) & (2**64 - 1)
+                x ^= x >> 30
+                x = x * 0xBF58476D1CE4E5B9 & (2**64 - 1)
+                x ^= x >> 27
+                x = x * 0x94D049BB133111EB & (2**64 - 1)
+                found.append((x ^ (x >> 31)) & (m.params.buckets - 1))
+        row = [sum(float(m.logs[g, k]) for g in found) if m.allowed[L.SCRIPTS.index(script), k] else -1e6 for k in range(len(m.languages))]
+        table.append([*row, len(found) * m.unknown])
+    best, came = [], []
+    for word in table:
+        if not best:
+            best = list(word)
+            continue
+        steps = [max(range(len(word)), key=lambda a: best[a] - (a != b) * m.params.switch) for b in range(len(word))]
+        best, came = [best[a] - (a != b) * m.params.switch + word[b] for b, a in enumerate(steps)], [*came, steps]
+    if not table:
+        return [], words
+    labels = [max(range(len(best)), key=best.__getitem__)]
+    for steps in reversed(came):
+        labels.insert(0, steps[labels[0]])
+    return [[*m.languages, "und"][k] for k in labels], words
+
+
+def test_identify_against_plain_loops(make):
+    m = model()
+    rng = random.Random(8)
+    junk = ["привет мир", "12 !", "qxz wvk " * 9, "İo"]
+    rows = [(i, " ".join(rng.choice([text("aa", i, 9), text("bb", i, 14), text("cc", i, 8), *junk]) for _ in range(3))) for i in range(60)]
+    rows += [(60, ""), (61, None), (62, text("aa", 5, 3000))]
+    found = {r["doc_id"]: r for r in L.identify(make(rows), model=m).collect()}
+    for doc_id, whole in rows:
+        labels, words = plain_labels(whole or "", m)
+        got = found[doc_id]
+        assert got["n_words"] == len(words)
+        spread = [s["language"] for s in got["spans"] for _ in range(s["words"])]
+        assert spread == labels
+        first = 0
+        for s in got["spans"]:
+            assert (s["start"], s["stop"]) == (words[first][0], words[first + s["words"] - 1][1])
+            first += s["words"]
+        known = [x for x in labels if x != "und"]
+        share = len(known) / max(1, len(labels))
+        assert abs(got["known_share"] - share) < 1e-9 and got["accepted"] == (bool(labels) and share >= m.params.accept)
+        tally = {name: known.count(name) for name in m.languages}
+        assert got["language"] == (max(tally, key=tally.get) if got["accepted"] else "und")
