@@ -14,7 +14,7 @@ from knotwork import config as settings
 from knotwork.functions import paths
 from knotwork.plans import config_edit, html, reports
 from knotwork.plans.analysis import analyse, traces
-from knotwork.sources.python_tree import DiscoveryError, read_tree
+from knotwork.sources.python_tree import SOURCES, DiscoveryError, read_tree
 
 
 def _listed(value: str) -> list[str]:
@@ -30,6 +30,7 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--root", help="project whose import lines are shown")
     report.add_argument("--source-root", help=argparse.SUPPRESS)
     p.add_argument("--config", metavar="FILE")
+    p.add_argument("--sources", metavar="TABLE", help="a Parquet table (root_ord, root, file_ord, rel_path, walked, source, error) instead of the tree")
     p.add_argument("--format", choices=("human", "json"), default="human")
     p.add_argument("-t", "--trace", dest="traces", metavar="PATH", type=_listed, action="extend", default=[])
     p.add_argument("--exclude", dest="excludes", metavar="PATH", type=_listed, action="extend", default=[])
@@ -125,7 +126,7 @@ def run(args: list[str], spark: SparkSession | None = None, cwd: str | None = No
         console.warn("warning: ignore-derived-ancestor-init has no effect without include-ancestor-init")
     fallback = derived and config.resolve.include_ancestor_init and cyclic_wanted
     try:
-        sources = read_tree(session(), project, list(config.source_roots))
+        sources = session().read.schema(SOURCES).parquet(o.sources) if o.sources else read_tree(session(), project, list(config.source_roots))
     except DiscoveryError as e:
         console.warn(f"discovery error: {e}")
         return 1

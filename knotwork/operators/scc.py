@@ -130,7 +130,9 @@ def component_roots(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame
     """(node, root) of distinct edges (u LONG, v LONG): nodes of one strong component have one root. Nodes left out are alone."""
     shape = "node long, root long"
     for _ in range(TRIM_ROUNDS):
-        edges = cut(_trim(edges), "trimmed")
+        after = cut(_trim(edges), "trimmed")
+        release(edges)
+        edges = after
     parts = connected_components(edges).select(F.col("node").alias("u"), "component")
     placed = cut(edges.join(parts, "u"), "placed")
     size = placed.groupBy("component").agg(F.count("*").alias("n"))

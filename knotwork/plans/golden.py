@@ -12,7 +12,7 @@ from knotwork.functions import paths
 from knotwork.functions.imports import ALL, CALL_SITES, ExtractOptions
 from knotwork.operators import extract as E
 from knotwork.operators import resolve as R
-from knotwork.operators.lineage import shared_dir
+from knotwork.operators.lineage import save, scratch
 from knotwork.sources.python_tree import read_tree
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -214,13 +214,9 @@ WALKED = [(".hidden.py", ".hidden"), ("__init__.py", ""), ("alpha/__init__.py",
 @query("file_ord BIGINT, rel_path VARCHAR, module VARCHAR, is_package BOOLEAN", [(i, f"src/{w}", m, w.endswith("__init__.py")) for i, (w, m) in enumerate(WALKED)])
 def discover_files(spark, sf_dir):
     """A tree on disk, walked by the data source: hidden files, __init__.py and empty files are there, others aren't."""
-    base = shared_dir(spark)
-    project = os.path.join("/" + base.removeprefix("file:").lstrip("/"), "discovered")
+    project = scratch(spark, "discovered")
     for name, text in {**PROJECT, "notes.txt": "", "mod.pyi": "", "dir.py/inner.txt": ""}.items():
-        path = os.path.join(project, "src", name)
-        os.makedirs(os.path.dirname(path), exist_ok=True)
-        with open(path, "w") as f:
-            f.write(text)
+        save(spark, f"{project}/src/{name}", text.encode())
     return E.files_of(read_tree(spark, project, ["src"])).select("file_ord", "rel_path", "module", "is_package")
 
 

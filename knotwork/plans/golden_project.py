@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from knotwork import config as settings
 from knotwork.operators import cycles as C
 from knotwork.operators import trace as T
-from knotwork.operators.lineage import shared_dir
 from knotwork.plans import config_edit, html, reports
 from knotwork.plans.analysis import Analysis, analyse, traces
 from knotwork.plans.golden import _sources, query, table
@@ -54,7 +52,7 @@ def report_text(spark, sf_dir):
 def report_json(spark, sf_dir):
     """The report written as JSON and read back, one cycle in an ignored directory."""
     a = project(spark, CONFIG + 'ignore-dirs = ["src/lone/"]\n')
-    frame, _ = reports.load(spark, _write(spark, "report.json", reports.show(reports.json_report(a))))
+    frame, _ = reports.parse(spark, reports.show(reports.json_report(a)))
     files = frame.select("summary", F.explode("cycles").alias("c")).select("summary", "c.*").select("*", F.explode("files").alias("f"))
     shown = F.transform("f.edges", lambda e: F.concat(e["to"], F.lit(":"), F.array_join(e["lines"].cast("array<string>"), ",")))
     return files.select(
@@ -64,15 +62,6 @@ def report_json(spark, sf_dir):
     )
 
 
-def _write(spark: SparkSession, name: str, text: str) -> str:
-    folder = os.path.join("/" + shared_dir(spark).removeprefix("file:").lstrip("/"), "reports")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, name)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
-    return path
-
-
 TRACE_TEXT = ["", "--- cycle impact ---", "", "trace: src/web/main.py (file)", "    impacted by 1 cycle:", f"      cycle 2 (reachable via src/web/main.py:1 -> {A})",
               "", "trace: src/web/ (directory, 4 of 6 files impacted)", f"  {A}:", "    impacted by 1 cycle:", "      cycle 2 (member)", f"  {B}:", "    impacted by 1 cycle:",
               "      cycle 2 (member)", f"  {Q}:", "    impacted by 1 cycle:", "      cycle 2 (member)", "  src/web/main.py:", "    impacted by 1 cycle:",
@@ -176,7 +165,7 @@ def report_checks(spark, sf_dir):
     rows = []
     for name, value in tried.items():
         try:
-            reports.load(spark, _write(spark, "tried.json", json.dumps(value)))
+            reports.parse(spark, json.dumps(value))
             rows.append((name, True))
         except reports.ReportError:
             rows.append((name, False))
@@ -189,7 +178,7 @@ def html_pages(spark, sf_dir):
     a = project(spark)
     traced, unknown, _ = traces(a, ["src/web"])
     cyclic = sorted(r["path"] for r in a.cyclic_files().collect())
-    frame, loaded = reports.load(spark, _write(spark, "paged.json", reports.show(reports.json_report(a, traced, unknown, cyclic))))
+    frame, loaded = reports.parse(spark, reports.show(reports.json_report(a, traced, unknown, cyclic)))
     stats = {k: v.collect() for k, v in reports.statistics(frame).items()}
     page = html.report_page(loaded, stats, "r", {(A, 1): "from web import b  # <b>"})
     sub = html.trace_html(loaded["traced"][0], "r.html", {1: 2, 2: 3})

@@ -72,13 +72,20 @@ def load(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """(the report as one row, the report): read and checked for version, count, indexes and sizes."""
     try:
         with open(path, encoding="utf-8") as f:
-            report = json.load(f)
-    except OSError as e:
+            return parse(spark, f.read(), path)
+    except (OSError, UnicodeDecodeError) as e:
         raise ReportError(f"failed to read {path}: {e}") from e
+
+
+def parse(spark: SparkSession, text: str, name: str = "the text") -> tuple[DataFrame, dict]:
+    """``load`` of a report's text."""
+    try:
+        report = json.loads(text)
     except ValueError as e:
-        raise ReportError(f"no JSON report: {path}: {e}") from e
+        raise ReportError(f"no JSON report: {name}: {e}") from e
     check(report)
-    return spark.read.schema(SCHEMA).json(path, multiLine=True), report
+    row = spark.createDataFrame([(text,)], "report string").select(F.from_json("report", SCHEMA).alias("r"))
+    return row.select("r.*"), report
 
 
 def check(report: dict) -> None:
