@@ -1,10 +1,11 @@
 """Near-duplicate embeddings by a pivot-permutation index: nearest pivots in order, inverted lists, shared counts, verification.
 
-Scale: pivots are 4 * sqrt(n) vectors, ``max_pivots`` at most, so that what each worker is given is bounded and lists grow
-with the square root of the input. A vector travels to the lists of its nearest pivots as two bytes a dimension; its exact
-numbers move once more, for pairs that those leave in. A list is examined in blocks by matrix products, and gives
-back links that connect what all its verified pairs would connect, so a cluster of n copies costs n links. Equal vectors
-are one from the start.
+Scale: pivots are 4 * sqrt(n) vectors, as many as ``pivot_bytes`` hold at most, so that what each worker is given is
+bounded and lists grow with the square root of the input. A vector travels to the lists of its nearest pivots as two bytes
+a dimension; its exact numbers move once more, for pairs that those leave in. In a list shared pivots are counted first,
+and only pairs with enough of them, whose first shared pivot is the list's, are verified: a pair is verified once, however
+many lists it is in. A list gives back links that connect what all its verified pairs would connect, so a cluster of n
+copies costs n links. Equal vectors are one from the start.
 """
 
 from __future__ import annotations
@@ -29,14 +30,15 @@ STEPS = 32767  # on either side of zero, by which a vector's numbers are rounded
 @dataclass(frozen=True)
 class EmbeddingParams:
     """threshold: least cosine. prefix: nearest pivots that describe a vector. shared: pivots that a pair must have in
-    common to be verified. block: rows of a list that one matrix product takes."""
+    common to be verified. pivot_bytes: that all pivots take at most, at four a dimension. block: rows of a list that one
+    matrix product takes."""
 
     threshold: float = 0.9
     prefix: int = 12
     shared: int = 3
     pivots_per_root: float = 4.0
-    max_pivots: int = 8192
-    block: int = 2048
+    pivot_bytes: int = 64 << 20
+    block: int = 1024
     seed: int = 9
 
 
@@ -75,14 +77,22 @@ def _indexer(pivots: np.ndarray, prefix: int):
     return run
 
 
-def shared_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many pivots each row of ``a`` shares with each row of ``b``."""
-    names, at = np.unique(np.concatenate([a.reshape(-1), b.reshape(-1)]), return_inverse=True)
-    one, two = np.zeros((len(a), len(names)), np.float32), np.zeros((len(b), len(names)), np.float32)
-    at = at.reshape(-1)
-    np.put_along_axis(one, at[: a.size].reshape(a.shape), 1, axis=1)
-    np.put_along_axis(two, at[a.size :].reshape(b.shape), 1, axis=1)
-    return one @ two.T
+BEFORE = 64  # what a pivot before the list's own counts
+
+
+class Shared:
+    """Shared pivots of a list's members; ``pivot``: the list's own, without it every pivot counts one."""
+
+    def __init__(self, near: np.ndarray, pivot: int | None = None) -> None:
+        names, at = np.unique(near.reshape(-1), return_inverse=True)
+        self.there = np.zeros((len(near), len(names)), np.float32)
+        np.put_along_axis(self.there, at.reshape(near.shape), 1, axis=1)
+        self.weighted = self.there if pivot is None else self.there * np.where(names < pivot, np.float32(BEFORE), np.float32(1))
+
+    def enough(self, a: slice | np.ndarray, b: slice | np.ndarray, least: int) -> np.ndarray:
+        """Whether a pair shares ``least`` pivots, the list's own first among them; rows of ``a`` x rows of ``b``."""
+        many = self.weighted[a] @ self.there[b].T
+        return (many >= least) & (many < BEFORE)
 
 
 def slack(dimensions: int) -> float:
@@ -90,18 +100,33 @@ def slack(dimensions: int) -> float:
     return 2.5 * dimensions**0.5 / STEPS + 1e-5
 
 
-def list_links(near: np.ndarray, x: np.ndarray, least: float, shared: int, block: int, sure: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _close(x: np.ndarray, i: int, j: int, may: np.ndarray, least: float) -> np.ndarray:
+    """``may`` where the cosine is ``least`` at least: pair by pair where few may be."""
+    if may.sum() * 8 > may.size:
+        return may & (x[i : i + may.shape[0]] @ x[j : j + may.shape[1]].T >= least)
+    a, b = np.nonzero(may)
+    for k in range(0, len(a), 1 << 16):
+        part = slice(k, k + (1 << 16))
+        may[a[part], b[part]] = np.einsum("nd,nd->n", x[i + a[part]], x[j + b[part]]) >= least
+    return may
+
+
+def list_links(
+    near: np.ndarray, x: np.ndarray, least: float, shared: int, block: int, sure: float | None = None, pivot: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) within a list that connect all its pairs with enough shared pivots and a cosine of ``least``. Links
-    under ``sure`` may prove false: they are given, and nothing is reached by them."""
+    under ``sure`` may prove false: they are given, and nothing is reached by them. ``pivot``: see ``Shared``."""
     sure = least if sure is None else sure
     n = len(x)
+    counts = Shared(near, pivot)
     busy = np.zeros(n, dtype=bool)
     for i in range(0, n, block):
         for j in range(i, n, block):
-            hit = x[i : i + block] @ x[j : j + block].T >= least
+            may = counts.enough(slice(i, i + block), slice(j, j + block), shared)
             if i == j:
-                np.fill_diagonal(hit, False)
-            if hit.any():
+                may &= np.tri(*may.shape, -1, dtype=bool)
+            if may.any():
+                hit = _close(x, i, j, may, least)
                 busy[i : i + block] |= hit.any(axis=1)
                 busy[j : j + block] |= hit.any(axis=0)
     left = np.flatnonzero(busy)
@@ -110,15 +135,14 @@ def list_links(near: np.ndarray, x: np.ndarray, least: float, shared: int, block
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            cosine = x[left] @ x[at]
-            hit = cosine >= least
-            if hit.any():
-                which = np.flatnonzero(hit)
-                which = which[shared_counts(near[left[which]], near[at : at + 1])[:, 0] >= shared]
+            which = np.flatnonzero(counts.enough(left, slice(at, at + 1), shared)[:, 0])
+            cosine = x[left[which]] @ x[at]
+            which, cosine = which[cosine >= least], cosine[cosine >= least]
+            if len(which):
                 found = left[which]
                 us.append(np.full(len(found), at))
                 vs.append(found)
-                reached = which[cosine[which] >= sure]
+                reached = which[cosine >= sure]
                 queue.extend(left[reached].tolist())
                 left = np.delete(left, reached)
     empty = np.zeros(0, np.int64)
@@ -140,7 +164,7 @@ def _lister(p: EmbeddingParams):
             edge = np.flatnonzero(np.concatenate([[True], pivot[1:] != pivot[:-1], [True]]))
             us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                a, b = list_links(near[i:j], x[i:j], p.threshold - off, min(shared, near.shape[1]), p.block, p.threshold + off)
+                a, b = list_links(near[i:j], x[i:j], p.threshold - off, min(shared, near.shape[1]), p.block, p.threshold + off, int(pivot[i]))
                 us.append(node[i:j][a])
                 vs.append(node[i:j][b])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
@@ -158,6 +182,13 @@ def _lister(p: EmbeddingParams):
     return run
 
 
+def choose_pivots(nodes: DataFrame, dimensions: int, many: int, p: EmbeddingParams) -> np.ndarray:
+    """Unit vectors of a pseudorandom choice among the ``many`` rows of ``nodes`` (node, v): 4 * sqrt(many), or what ``pivot_bytes`` hold."""
+    most = int(min(max(1, p.pivot_bytes // (4 * dimensions)), max(16, p.pivots_per_root * many**0.5)))
+    chosen = nodes.orderBy(F.xxhash64(F.lit(p.seed), "node"), "node").limit(most).select("v").toPandas()["v"]
+    return _unit(np.stack(chosen.to_list()).astype(np.float32))
+
+
 def near_duplicates(vectors: DataFrame, p: EmbeddingParams = EmbeddingParams()) -> DataFrame:
     """(vec_id, group_id, group_size, keep) of the rows in groups of two or more near copies.
 
@@ -179,9 +210,7 @@ def near_duplicates(vectors: DataFrame, p: EmbeddingParams = EmbeddingParams())
     found = spark.createDataFrame([], "u long, v long")
     for length in lengths:
         own = nodes.where(F.size("v") == length["n"])
-        many = int(min(p.max_pivots, max(16, p.pivots_per_root * length["count"] ** 0.5)))
-        chosen = own.orderBy(F.xxhash64(F.lit(p.seed), "node"), "node").limit(many).select("v").toPandas()["v"]
-        pivots = _unit(np.stack(chosen.to_list()).astype(np.float32))
+        pivots = choose_pivots(own, length["n"], length["count"], p)
         lists = own.select("node", "v").mapInArrow(_indexer(pivots, p.prefix), "pivot int, node long, near array<int>, code binary")
         found = found.union(lists.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(_lister(p), "u long, v long"))
     found = found.distinct()

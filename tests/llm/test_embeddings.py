@@ -32,7 +32,9 @@ def test_links_connect_a_list():
     near = np.argsort(-(x @ x[:15].T), axis=1)[:, :5].astype(np.int32)
     for block in (7, 1000):
         u, v = V.list_links(near, x, 0.9, 2, block)
-        ok = (x @ x.T >= 0.9) & (V.shared_counts(near, near) >= 2)
+        every = slice(None)
+        ok = (x @ x.T >= 0.9) & V.Shared(near).enough(every, every, 2)
+        assert (V.Shared(near).enough(every, every, 2) == [[len({*a} & {*b}) >= 2 for b in near.tolist()] for a in near.tolist()]).all()
         want, got = ok.copy(), np.eye(90, dtype=bool)
         got[u, v] = got[v, u] = True
         for _ in range(8):
@@ -71,7 +73,7 @@ def test_hot_cluster_around_the_threshold(spark):
     a, b = np.nonzero(close)
     assert len(a) > 1000 and (group[a] == group[b]).all()
     assert len(u) < 3 * len(x)
-    p = V.EmbeddingParams(prefix=3, max_pivots=3)  # one list of all
+    p = V.EmbeddingParams(prefix=3, pivot_bytes=3 * 64 * 4)  # one list of all
     found = {r["vec_id"]: r["group_id"] for r in V.near_duplicates(frame(spark, x), p).collect()}
     assert all(i in found and found[i] == found.get(j) for i, j in zip(a.tolist(), b.tolist()))
 
@@ -83,3 +85,52 @@ def test_each_length_is_indexed(spark):
     table = spark.createDataFrame([(i, [float(f) for f in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<float>")
     found = {r["vec_id"]: r["group_id"] for r in V.near_duplicates(table).collect()}
     assert found == {0: 0, 8: 0, 1: 1, 9: 1, 2: 2, 10: 2, 11: 11, 15: 11, 12: 12, 16: 12}
+
+
+def test_each_pair_is_verified_in_the_list_of_its_first_shared_pivot():
+    rng = np.random.default_rng(5)
+    near = np.array([rng.choice(40, 6, replace=False) for _ in range(120)], np.int32)
+    seen = np.zeros((120, 120), int)
+    for pivot in range(40):
+        own = np.flatnonzero((near == pivot).any(axis=1))
+        seen[np.ix_(own, own)] += V.Shared(near[own], pivot).enough(slice(None), slice(None), 2)
+    want = np.array([[len({*a} & {*b}) >= 2 for b in near.tolist()] for a in near.tolist()])
+    assert (seen == want).all()
+
+
+def test_a_chain_of_three(spark):
+    turn = np.radians([0, 13.5, 27])
+    x = np.stack([np.cos(turn), np.sin(turn)], axis=1)
+    for shift in range(6):
+        found = V.near_duplicates(frame(spark, np.roll(x, shift, axis=0) * (1 + shift))).collect()
+        assert [(r["vec_id"], r["group_id"], r["group_size"]) for r in sorted(found)] == [(0, 0, 3), (1, 0, 3), (2, 0, 3)]
+
+
+def test_no_pair_with_three_shared_pivots_is_lost(spark):
+    """Clusters whose cosines lie on either side of the threshold, against brute force over all pairs."""
+    rng = np.random.default_rng(7)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = unit(rng.normal(size=(40, 64)))
+    members = [unit(c + unit(rng.normal(size=(12, 64))) * (1 / r**2 - 1) ** 0.5) for c, r in zip(centres, np.linspace(0.93, 0.965, 40))]
+    x = np.concatenate([*members, unit(rng.normal(size=(1200, 64)))]).astype(np.float32)
+    table = frame(spark, x)
+    p = V.EmbeddingParams()
+    found = {r["vec_id"]: r["group_id"] for r in V.near_duplicates(table, p).collect()}
+    nodes = spark.createDataFrame([(int(i), [float(f) for f in v]) for i, v in enumerate(x)], "id long, v array<float>")
+    nodes = nodes.selectExpr("xxhash64(v) as node", "v")
+    pivots = V.choose_pivots(nodes, 64, len(x), p)
+    near = np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, : p.prefix]
+    exact = unit(x.astype(np.float64))
+    a, b = np.nonzero(np.triu(exact @ exact.T >= 0.9, 1))
+    shared = np.array([len({*near[i]} & {*near[j]}) for i, j in zip(a, b)])
+    one = np.array([i in found and found.get(i) == found.get(j) for i, j in zip(a.tolist(), b.tolist())])
+    assert len(a) > 500 and 0.8 < (exact @ exact.T)[:12, :12].min() < 0.9
+    assert one[shared >= 3].all() and one.mean() >= 0.9
+    joined = {}  # nothing is joined that brute force doesn't join
+    group = np.arange(len(x))
+    for _ in range(12):
+        np.minimum.at(group, a, group[b])
+        np.minimum.at(group, b, group[a])
+    for i, g in found.items():
+        joined.setdefault(g, set()).add(int(group[i]))
+    assert all(len(k) == 1 for k in joined.values())
