@@ -19,7 +19,9 @@ from knotwork.llm._text import batches
 
 EXTRACTED = "page_id long, url string, title string, content string, n_lines int, kept_lines int, threshold double"
 #: Elements whose text nobody reads.
-HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "head"))
+HIDDEN = frozenset(("script", "style", "noscript", "template", "svg", "iframe", "object", "select", "textarea", "head", "title"))
+#: What may stand in a head; any other element, and bare text, ends it.
+IN_HEAD = frozenset(("html", "head", "title", "meta", "link", "base", "script", "style", "noscript", "template"))
 #: Elements that begin and end a line.
 BLOCKS = frozenset(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre "
@@ -39,16 +41,22 @@ class HtmlParams:
 
 
 class LineReader(HTMLParser):
-    """Collects (text, tags) by line; a line ends at a line feed of the source and at a block element's edge."""
+    """Collects (text, tags) by line; a line ends at a line feed of the source and at a block element's edge.
 
-    def __init__(self) -> None:
+    ``open_tags``: start tags, by number, of hidden elements that were never closed; a reader that is told to ``ignore``
+    them reads what follows them. Script and style elements, and a head, are not among them.
+    """
+
+    def __init__(self, ignore: frozenset[int] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int]] = []
-        self.title = ""
+        self.title: str | None = None
+        self.open_tags: frozenset[int] = frozenset()
+        self._ignore = ignore
+        self._number = 0
         self._parts: list[str] = []
         self._tags = 0
-        self._hidden: list[str] = []
-        self._in_title = False
+        self._hidden: list[tuple[str, int]] = []
 
     def _end_line(self) -> None:
         text = " ".join("".join(self._parts).split())
@@ -56,33 +64,44 @@ class LineReader(HTMLParser):
             self.lines.append((text, self._tags))
         self._parts, self._tags = [], 0
 
+    def _visible(self, tag: str) -> bool:
+        """Whether a start tag stands in the open, perhaps because it ends a head."""
+        if self._hidden and tag == "body":  # whatever was not closed
+            self._hidden.clear()
+        elif tag not in IN_HEAD:
+            self._end_head()
+        return not self._hidden
+
+    def _end_head(self) -> None:
+        while self._hidden and self._hidden[-1][0] == "head":
+            self._hidden.pop()
+
+    def _hides(self, tag: str) -> bool:
+        return tag in HIDDEN and self._number not in self._ignore
+
+    def set_cdata_mode(self, elem: str, **more) -> None:
+        if elem in ("script", "style") or self._number not in self._ignore:
+            super().set_cdata_mode(elem, **more)
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "title":
-            self._in_title = True
-        if self._hidden:
-            if tag == "body":  # a head that was never closed
-                self._hidden.clear()
-            elif tag in HIDDEN:
-                self._hidden.append(tag)
-            return
-        if tag in BLOCKS:
-            self._end_line()
-        self._tags += 1
-        if tag in HIDDEN:
-            self._hidden.append(tag)
+        self._number += 1
+        if self._visible(tag):
+            if tag in BLOCKS:
+                self._end_line()
+            self._tags += 1
+        if self._hides(tag):
+            self._hidden.append((tag, self._number))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if not self._hidden:
+        if self._visible(tag):
             if tag in BLOCKS:
                 self._end_line()
             self._tags += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "title":
-            self._in_title = False
         if self._hidden:
-            if tag in self._hidden:
-                while self._hidden.pop() != tag:
+            if any(tag == t for t, _ in self._hidden):
+                while self._hidden.pop()[0] != tag:
                     pass
             return
         if tag not in VOID:
@@ -91,9 +110,12 @@ class LineReader(HTMLParser):
             self._end_line()
 
     def handle_data(self, data: str) -> None:
-        if self._in_title:
-            self.title += data
+        if data.strip():
+            self._end_head()
         if self._hidden:
+            within = [tag for tag, _ in self._hidden if tag != "head"]
+            if within == ["title"]:
+                self.title = (self.title or "") + data
             return
         first, *more = data.split("\n")
         self._parts.append(first)
@@ -104,6 +126,19 @@ class LineReader(HTMLParser):
     def finish(self) -> None:
         self.close()
         self._end_line()
+        self.open_tags = frozenset(number for tag, number in self._hidden if tag not in ("script", "style", "head"))
+
+
+def read(html: str) -> LineReader:
+    """The reader after a page. Elements that hide text hide none if they are never closed."""
+    ignore: frozenset[int] = frozenset()
+    while True:
+        reader = LineReader(ignore)
+        reader.feed(html)
+        reader.finish()
+        if not reader.open_tags:
+            return reader
+        ignore |= reader.open_tags
 
 
 def smooth(ratio: np.ndarray, p: HtmlParams) -> np.ndarray:
@@ -129,10 +164,8 @@ def cluster_threshold(values: np.ndarray) -> tuple[float, float, float]:
 
 def extract(html: str, p: HtmlParams = HtmlParams()) -> tuple[str, str, int, int, float]:
     """(title, content, lines, kept lines, threshold) of one page."""
-    reader = LineReader()
-    reader.feed(html)
-    reader.finish()
-    title = " ".join(reader.title.split())
+    reader = read(html)
+    title = " ".join((reader.title or "").split())
     lines = reader.lines
     if not lines:
         return title, "", 0, 0, 0.0
@@ -169,8 +202,10 @@ def extract_pages(pages: DataFrame, p: HtmlParams = HtmlParams()) -> DataFrame:
 
     content: the lines whose smoothed text-to-tag ratio is in the upper of two clusters, joined by line feeds; all lines
     where the clusters hardly differ. threshold: the least ratio kept. A null html gives nulls, an empty one or one without
-    text an empty content; broken mark-up is read as far as the parser reads it. Repeated rows each give a row. Other
-    columns are ignored.
+    text an empty content. A head ends, closed or not, where an element or text follows that can't be in it; an element
+    that hides its text (a form's choices, say) hides none if it is never closed. What follows an unclosed script or style
+    element is its text, as in browsers. A page with text in the open has a content. Very long pages are read whole;
+    repeated rows each give a row. Other columns are ignored.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(_extract(p), EXTRACTED)
