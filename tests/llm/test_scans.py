@@ -56,7 +56,13 @@ def test_secrets_messy(messy, make):
         ("MIT AND GPL-2.0+", "MIT AND GPL-2.0-or-later", False),
         ("GPL-2.0-only WITH Classpath-exception-2.0 AND MIT", "GPL-2.0-only WITH Classpath-exception-2.0 AND MIT", True),
         ("GPL-2.0-only WITH Odd-exception", "GPL-2.0-only WITH Odd-exception", False),
-        ("Apache-2.0 and some prose", "Apache-2.0 AND some", False),
+        ("Apache-2.0 and some prose", "Apache-2.0", True),
+        ("Apache-2.0 or later", "Apache-2.0", True),
+        ("MIT/Apache-2.0", "MIT OR Apache-2.0", True),
+        ("MIT / see the file", "MIT", True),
+        ("gpl-2.0+ or LicenseRef-Own", "GPL-2.0-or-later OR LicenseRef-Own", False),
+        ("MIT OR Own", "MIT OR Own", True),
+        ("EPL-2.0+ and zlib (see below)", "EPL-2.0+ AND Zlib", False),
         ("Some-Licence", "Some-Licence", False),
     ],
 )
@@ -92,17 +98,107 @@ def test_scan(make):
     assert not found[7]["permissive"] and found[8]["matches"][0]["at"] == 200001
 
 
-def test_scan_against_plain_search(make):
+def plain_scan(text):
+    """Matches of ``scan_text`` by trying every phrase at every place, white space and comment marks read character by character."""
+    folded, place, i = "", [], 0
+    white = lambda c: c.isspace()
+    while i < len(text):
+        c = text[i]
+        if not white(c):
+            folded, i = folded + (c.lower() if len(c.lower()) == 1 else c), i + 1
+            place.append(i - 1)
+            continue
+        begin = i
+        while i < len(text) and white(text[i]):
+            i += 1
+        if "\n" in text[begin:i]:
+            while i < len(text) and text[i] in "#*/;%!>|<-" or i < len(text) and white(text[i]):
+                i += 1
+        folded += " "
+        place.append(begin)
+    word = lambda k: 0 <= k < len(folded) and folded[k].isalnum()
+    found, at = [], 0
+    phrases = sorted([*((p, "notice") for p in S.PHRASES), *((t, "tag") for t in S.TAGS)], key=lambda x: -len(x[0]))
+    while at < len(folded):
+        for phrase, kind in phrases:
+            end = at + len(phrase)
+            if not folded.startswith(phrase, at) or word(at - 1) or kind == "notice" and word(end):
+                continue
+            version = phrase[-1].isdigit() and folded[end : end + 1] == "." and folded[end + 1 : end + 2].isdigit() and folded[end + 1] != "0"
+            if kind == "notice" and version:
+                continue
+            found.append((at, phrase, kind))
+            at = end - 1
+            break
+        at += 1
+    out = []
+    for k, (at, phrase, kind) in enumerate(found):
+        name = S.PHRASES.get(phrase)
+        if phrase == S.MARKED:
+            rest = folded[at + 1 :]
+            rest = rest[: rest.index(phrase)] if phrase in rest else rest
+            name = next((n for mark, n in S.MARKS.items() if mark in rest), name)
+        if kind == "tag":
+            line = text[place[at + len(phrase) - 1] + 1 :].split("\n")[0].strip().strip("*/#-<>! ").strip()
+            try:
+                name = S.evaluate(S.to_postfix(line))[0]
+            except S.ExpressionError:
+                kind, name = "broken_tag", line
+        out.append((kind, name, phrase, place[at]))
+    return out
+
+
+def test_scan_against_plain_search():
     import random
 
     rng = random.Random(4)
     phrases = list(S.PHRASES)
-    rows = [(i, " ".join(rng.choice([rng.choice(phrases), "some words", "the"]) for _ in range(4)) + ".") for i in range(150)]
-    finder = S.automaton()
-    for _, text in rows:
-        got = S.scan_text(text, finder)
-        every = {S.PHRASES[p] for p in phrases if p in text}
-        assert (set() if got is None else set(got[0])) <= every and (got is None) == (not every)
+    finder, trigger = S.automaton(), S.triggers()
+    words = ["some words", "the", "İx", "2.1", "MIT", *S.MARKS, S.MARKED, "SPDX-License-Identifier: MIT or later", "License-Expression: (GPL-3.0", "x" + phrases[0]]
+    gaps = [" ", " ", "  ", "\n * ", "\n# \n#  ", ".", "\t", "", ".5 "]
+    hits = 0
+    for _ in range(400):
+        parts = [rng.choice([rng.choice(phrases), rng.choice(words)]) for _ in range(rng.randint(1, 6))]
+        text = "".join(p.replace(" ", rng.choice(gaps[:6])) if rng.random() < 0.3 else p.upper() if rng.random() < 0.1 else p for part in parts for p in (part, rng.choice(gaps)))
+        got, want = S.scan_text(text, finder, trigger), plain_scan(text)
+        assert (got[3] if got else []) == want, text
+        hits += len(want)
+        if got:
+            assert got == S.scan_text(text, finder)
+            named = {n for k, n, *_ in want if k == "notice"}
+            assert named <= set(got[0])
+    assert hits > 600
+
+
+def test_forms_of_one_notice():
+    finder, trigger = S.automaton(), S.triggers()
+    bsd = "Redistribution and use in source and binary\n * forms, with or without modification"
+    third = bsd + "\n * Neither the name of the owner nor"
+    for text, names, permissive in [
+        (bsd, ["BSD-2-Clause"], True),
+        (third, ["BSD-3-Clause"], True),
+        (f"{bsd}. All advertising materials\n * mentioning features. Neither the name of", ["BSD-4-Clause"], True),
+        (f"{bsd}\n\n{third}", ["BSD-2-Clause", "BSD-3-Clause"], True),
+        ("Copyright X. All rights reserved.\n" + bsd, ["BSD-2-Clause", S.RESERVED], True),
+        ("All rights reserved.", [S.RESERVED], False),
+        ("the GNU General Public License as published by the Free Software Foundation; either\n# version 2 of the License, or", ["GPL-2.0-or-later"], False),
+        ("GNU General Public License, version 3 or later", ["GPL-3.0-or-later"], False),
+        ("GNU Lesser General Public License version 2.1.", ["LGPL-2.1-only"], False),
+        ("GNU General Public License version 2.5", None, None),
+        ("GNU General Public License version 2.0", ["GPL-2.0-only"], False),
+        ("http://creativecommons.org/licenses/by-nc/4.0/", ["CC-BY-NC-4.0"], False),
+        ("// SPDX-License-Identifier: " + "x" * 500 + " AND", [], False),
+    ]:
+        found = S.scan_text(text, finder, trigger)
+        assert (found and found[0]) == names and (found and found[2]) == permissive, text
+    assert len(found[3][0][1]) == 504  # the whole line of a broken tag
+
+
+def test_licenses_in_long_and_repeated_rows(make):
+    long = "words of prose\n" * 40000 + "Released under the MIT\n// License." + " end" * 1000
+    found = S.scan(make([(1, long), (1, long), (None, "ISC License"), (2, long[:-5000])], clash=True)).collect()
+    assert sorted((r["doc_id"] or 0, r["licenses"]) for r in found) == [(0, ["ISC"]), (1, ["MIT"]), (1, ["MIT"])]
+    assert all(long[r["matches"][0]["at"] :].startswith("under the MIT") for r in found if r["doc_id"] == 1)
 
 
 def test_licenses_messy(messy, make):
