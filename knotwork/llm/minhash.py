@@ -2,9 +2,12 @@
 
 Scale: one pass over the texts makes 160 minima a document (one byte each is kept) and 32 band hashes. Documents of one
 signature are one node from then on, so that copies, however many, cost one node. Buckets of equal band hash are found
-with one window over (hash, node) pairs, and a bucket that several bands repeat is examined once. Inside a bucket a
+by an aggregation over (hash, node) pairs, and a bucket that several bands repeat is examined once. Inside a bucket a
 search over the not yet reached members finds the components of "agreement at or above the threshold" without listing
-its pairs: a bucket of n copies costs n comparisons with its first member, not n * n.
+its pairs: a bucket of n copies costs n comparisons with its first member, not n * n. A bucket beyond ``bucket_rows`` is
+cut into groups, and a task searches two of them, each group meeting each other once; members of a bucket that agree with
+nobody would be compared pair by pair, so a search stops after ``comparisons`` and hands those still to be compared to
+such tasks of ``block`` rows a group. Both are exact: every pair of a bucket is in some task.
 """
 
 from __future__ import annotations
@@ -27,13 +30,17 @@ SIGNATURES = "key long, doc_id long, node long, sig binary, bands array<bigint>"
 
 @dataclass(frozen=True)
 class MinHashParams:
-    """shingle: words in a shingle. bands * rows universal hashes. threshold: least share of agreeing minima."""
+    """shingle: words in a shingle. bands * rows universal hashes. threshold: least share of agreeing minima. bucket_rows,
+    comparisons, block: what one task holds of a bucket, compares in it, and holds of it if that is not enough."""
 
     shingle: int = 3
     bands: int = 32
     rows: int = 5
     threshold: float = 0.5
     seed: int = 20240611
+    bucket_rows: int = 1 << 17
+    comparisons: int = 1 << 26
+    block: int = 1 << 12
 
 
 def row_key(doc_id: str | Column = "doc_id", text: str | Column = "text") -> Column:
@@ -122,27 +129,29 @@ def signatures(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame
     return rows.select(row_key().alias("key"), "doc_id", "text").mapInArrow(_signer(p), SIGNATURES)
 
 
-def bucket_links(sig: np.ndarray, least: float) -> np.ndarray:
-    """For each member of a bucket the index of its component's first member; sig: members x minima bytes."""
+def bucket_links(sig: np.ndarray, least: float, budget: float = float("inf")) -> tuple[np.ndarray, np.ndarray]:
+    """(for each member of a bucket the index of its component's first member, indexes of members not compared yet).
+
+    sig: members x minima bytes. The search ends after the component in which ``budget`` comparisons are reached.
+    """
     n = len(sig)
     root = np.arange(n)
-    if n == 2:
-        if (sig[0] == sig[1]).sum() >= least:
-            root[1] = 0
-        return root
     left = np.arange(n)
-    while len(left):
+    done = 0
+    while len(left) > 1 and done < budget:
         seed, left = left[0], left[1:]
         queue = [seed]
         while queue and len(left):
+            done += len(left)
             hit = (sig[left] == sig[queue.pop()]).sum(axis=1) >= least
             found, left = left[hit], left[~hit]
             root[found] = seed
             queue.extend(found.tolist())
-    return root
+    return root, left if len(left) > 1 else left[:0]
 
 
-def _linker(p: MinHashParams):
+def _linker(p: MinHashParams, budget: float):
+    """Rows (u, v, left): links of nodes; or, with ``left``, a bucket and a member that is still to be compared in it."""
     k = p.bands * p.rows
     least = k * (p.threshold * 255 + 1) / 256  # bytes of differing minima agree once in 256
 
@@ -154,14 +163,21 @@ def _linker(p: MinHashParams):
             node = table["node"].to_numpy()
             sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(node), -1)
             edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-            us, vs = [], []
+            us, vs, more = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
             for i, j in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                if j - i > 1:
-                    root = bucket_links(sig[i:j], least)
+                if j - i == 2:
+                    if (sig[i] == sig[i + 1]).sum() >= least:
+                        us.append(node[i + 1 : j])
+                        vs.append(node[i : i + 1])
+                elif j - i > 2:
+                    root, left = bucket_links(sig[i:j], least, budget)
                     own = np.flatnonzero(root != np.arange(j - i))
                     us.append(node[i:j][own])
                     vs.append(node[i:j][root[own]])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (us, vs)], names=["u", "v"])
+                    more.append(left + i)
+            more = np.concatenate(more) if more else np.zeros(0, np.int64)
+            u, v = np.concatenate([*us, bucket[more]]), np.concatenate([*vs, node[more]])
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.arange(len(u)) >= len(u) - len(more))], names=["u", "v", "left"])
 
         for batch in batches(parts):
             bucket = batch["bucket"].to_numpy()
@@ -178,19 +194,35 @@ def _linker(p: MinHashParams):
     return link
 
 
+def in_groups(members: DataFrame, most: int) -> DataFrame:
+    """(bucket, node) of ``members`` (bucket, n, node), n being a bucket's size: buckets of more than ``most`` are cut into
+    groups by a hash, and every two groups are a bucket of their own."""
+    groups = F.ceil(F.col("n") / F.lit(most))
+    own = F.pmod(F.xxhash64("node", "bucket"), groups)
+    others = F.when(groups == 1, F.array(own)).otherwise(F.filter(F.sequence(F.lit(0), groups - 1), lambda x: x != own))
+    pairs = members.select("bucket", "node", groups.alias("groups"), own.alias("own"), F.explode(others).alias("other"))
+    both = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
+    return pairs.select(F.when(F.col("groups") == 1, F.col("bucket")).otherwise(both).alias("bucket"), "node")
+
+
 def links(sigs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
     """(u, v) nodes whose signatures agree, enough of them to connect what a comparison of all pairs of a bucket would."""
     nodes = sigs.dropDuplicates(["node"])
-    same = W.partitionBy("h")
-    shared = (
-        nodes.select("node", F.explode("bands").alias("h"))
-        .select("node", F.count("*").over(same).alias("n"), F.bit_xor("node").over(same).alias("x"), F.min("node").over(same).alias("m"))
-        .where("n > 1")
-        .select("node", F.xxhash64("n", "x", "m").alias("bucket"))
-        .distinct()
-    )
-    rows = shared.join(nodes.select("node", "sig"), "node")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "node").mapInArrow(_linker(p), "u long, v long")
+    bands = nodes.select("node", F.explode("bands").alias("h"))
+    buckets = bands.groupBy("h").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.min("node").alias("m")).where("n > 1")
+    shared = bands.join(buckets, "h").select(F.xxhash64("n", "x", "m").alias("bucket"), "n", "node").distinct()
+
+    def compared(rows: DataFrame, budget: float) -> DataFrame:
+        met = rows.join(nodes.select("node", "sig"), "node").repartition("bucket").sortWithinPartitions("bucket", "node")
+        return met.mapInArrow(_linker(p, budget), "u long, v long, left boolean")
+
+    found = cut(compared(in_groups(shared, p.bucket_rows), p.comparisons), "links")
+    left = found.where("left").select(F.col("u").alias("bucket"), F.col("v").alias("node"))
+    found = found.where("not left").select("u", "v")
+    if left.isEmpty():
+        return found
+    rest = left.join(left.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    return found.unionByName(compared(in_groups(rest, p.block), float("inf")).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> DataFrame:
@@ -203,15 +235,11 @@ def near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) -> Data
     """
     sigs = cut(signatures(docs, p), "minhash")
     parts = connected_components(links(sigs, p))
-    member = sigs.select("key", "doc_id", "node").join(parts, "node", "left")
-    group = W.partitionBy("group")
-    found = member.select("key", "doc_id", F.coalesce("component", "node").alias("group")).select(
-        "key",
-        "doc_id",
-        F.count("*").over(group).alias("group_size"),
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).over(group).alias("first"),
-    )
-    return found.where("group_size > 1").select(
+    named = sigs.select("key", "doc_id", "node").join(parts, "node", "left").select("key", "doc_id", F.coalesce("component", "node").alias("group"))
+    member = cut(named, "members")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))
+    groups = member.groupBy("group").agg(F.count("*").alias("group_size"), first.alias("first")).where("group_size > 1")
+    return member.join(groups, "group").select(
         "key", "doc_id", F.col("first.doc_id").alias("group_id"), "group_size", (F.col("key") == F.col("first.key")).alias("keep")
     )
 
@@ -223,6 +251,7 @@ def drop_near_duplicates(docs: DataFrame, p: MinHashParams = MinHashParams()) ->
     fate = found.select(F.col("key").alias("__key"), "keep", "copies")
     marked = keyed.join(fate.select("__key", F.col("keep").alias("__keep"), F.col("copies").alias("__copies")), "__key", "left")
     kept = marked.where("__keep is null or __keep")
-    single = kept.where("__copies is null or __copies = 1")
-    several = kept.where("__copies > 1").dropDuplicates(["__key"])
-    return single.unionByName(several).select(*docs.columns)
+    if not found.where("copies > 1").isEmpty():  # one of equal rows; where there are none, texts need not meet their likes
+        nth = F.row_number().over(W.partitionBy("__key").orderBy("__key"))
+        kept = kept.withColumn("__nth", nth).where("__copies is null or __nth = 1")
+    return kept.select(*docs.columns)

@@ -55,7 +55,8 @@ def test_bucket_links_connect_what_all_pairs_would():
     sig = rng.integers(0, 4, (60, 40)).astype(np.uint8)
     sig[30:50] = sig[3]
     sig[30:50, :10] = rng.integers(0, 4, (20, 10))
-    root = M.bucket_links(sig, 26)
+    root, left = M.bucket_links(sig, 26)
+    assert not len(left)
     near = (sig[:, None] == sig[None]).sum(axis=2) >= 26
     reach = near.copy()
     for _ in range(6):
@@ -83,3 +84,46 @@ def test_many_copies_are_one_group(make, prose, n):
     rows = [(i, edited(prose(1, 200), i, 0.02)) for i in range(n)]
     found = M.near_duplicates(make(rows)).collect()
     assert len(found) == n and {r["group_id"] for r in found} == {0} and sum(r["keep"] for r in found) == 1
+
+
+def template_pages(prose, n):
+    """Pages of one long template and a text of their own: they share bands, and few of them agree; some are near copies."""
+    shared = prose(900, 150)
+    rows = [(i, f"{shared} {prose(i, 190)}") for i in range(n)]
+    return rows + [(n + i, edited(rows[i * 3][1], i, 0.03)) for i in range(n // 6)]
+
+
+def test_hot_buckets_give_the_same_groups(make, prose):
+    docs = make(template_pages(prose, 150))
+    want = groups(M.near_duplicates(docs).collect())
+    assert sum(map(len, want)) > 40
+    for p in (M.MinHashParams(comparisons=1, block=7), M.MinHashParams(bucket_rows=5), M.MinHashParams(bucket_rows=20, comparisons=60, block=3)):
+        assert groups(M.near_duplicates(docs, p).collect()) == want
+    sigs = M.signatures(docs)
+    heads = sigs.selectExpr("node", "explode(bands) as h").groupBy("h").count()
+    assert heads.agg({"count": "max"}).first()[0] > 15  # a template makes buckets beyond these limits
+
+
+def test_groups_of_a_bucket_meet_each_other_once(spark):
+    members = [(1, 50, i) for i in range(50)] + [(2, 3, i) for i in range(100, 103)]
+    rows = M.in_groups(spark.createDataFrame(members, "bucket long, n long, node long"), 8).collect()
+    found = {}
+    for r in rows:
+        found.setdefault(r["bucket"], set()).add(r["node"])
+    assert found[2] == {100, 101, 102} and len(found) == 1 + 7 * 6 // 2
+    assert max(map(len, found.values())) < 3 * 8
+    assert all(any({a, b} <= g for g in found.values()) for a in range(50) for b in range(a))
+
+
+def test_bucket_links_stop_between_components():
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 200, (80, 40)).astype(np.uint8)
+    sig[5:40:5] = sig[0]
+    root, left = M.bucket_links(sig, 30, 100)
+    assert set(left) == set(range(80)) - {0, *range(5, 40, 5)} and (root[5:40:5] == 0).all()
+
+
+def test_one_of_equal_rows_stays(make, prose):
+    rows = [(1, prose(1)), (1, prose(1), "fr"), (2, prose(1) + " more"), (3, prose(2)), (3, prose(2)), (4, ""), (4, "")]
+    kept = M.drop_near_duplicates(make(rows, clash=True))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, prose(1)), (3, prose(2)), (4, ""), (4, "")]
