@@ -30,15 +30,15 @@ STEPS = 32767  # on either side of zero, by which a vector's numbers are rounded
 @dataclass(frozen=True)
 class EmbeddingParams:
     """threshold: least cosine. prefix: nearest pivots that describe a vector. shared: pivots that a pair must have in
-    common to be verified. pivot_bytes: that all pivots take at most, at four a dimension. block: rows of a list that one
-    matrix product takes."""
+    common to be verified. pivot_bytes: that all pivots take at most, at four a dimension. block: its square is how
+    many pairs of a list are counted at once."""
 
     threshold: float = 0.9
     prefix: int = 12
     shared: int = 3
     pivots_per_root: float = 4.0
     pivot_bytes: int = 64 << 20
-    block: int = 1024
+    block: int = 256
     seed: int = 9
 
 
@@ -81,18 +81,48 @@ BEFORE = 64  # what a pivot before the list's own counts
 
 
 class Shared:
-    """Shared pivots of a list's members; ``pivot``: the list's own, without it every pivot counts one."""
+    """Shared pivots of a list's members; ``pivot``: the list's own, which all of them have; without it every pivot counts one.
+
+    Counts are taken from the members of each pivot, or by a matrix product where those lists are long for their number.
+    """
 
     def __init__(self, near: np.ndarray, pivot: int | None = None) -> None:
+        self.base = 0 if pivot is None else 1
+        if pivot is not None:
+            near = near[near != pivot].reshape(len(near), -1)
         names, at = np.unique(near.reshape(-1), return_inverse=True)
-        self.there = np.zeros((len(near), len(names)), np.float32)
-        np.put_along_axis(self.there, at.reshape(near.shape), 1, axis=1)
-        self.weighted = self.there if pivot is None else self.there * np.where(names < pivot, np.float32(BEFORE), np.float32(1))
-
-    def enough(self, a: slice | np.ndarray, b: slice | np.ndarray, least: int) -> np.ndarray:
-        """Whether a pair shares ``least`` pivots, the list's own first among them; rows of ``a`` x rows of ``b``."""
-        many = self.weighted[a] @ self.there[b].T
-        return (many >= least) & (many < BEFORE)
+        self.at = at.reshape(near.shape)
+        self.weight = np.ones(len(names), np.float32) if pivot is None else np.where(names < pivot, np.float32(BEFORE), np.float32(1))
+        self.size = np.bincount(at.reshape(-1), minlength=len(names))
+        self.begin = np.cumsum(self.size) - self.size
+        self.members = np.argsort(at.reshape(-1), kind="stable") // max(1, near.shape[1])
+        self.there: np.ndarray | None = None
+        if (self.size.astype(float) ** 2).sum() * 50 > float(len(near)) ** 2 * len(names):
+            self.there = np.zeros((len(near), len(names)), np.float32)
+            np.put_along_axis(self.there, self.at, 1, axis=1)
+
+    def rows(self, i: int, j: int) -> np.ndarray:
+        """Weighted counts of members i .. j - 1 with every member."""
+        n = len(self.at)
+        if self.there is not None:
+            return (self.there[i:j] * self.weight) @ self.there.T + self.base
+        pivots = self.at[i:j].reshape(-1)
+        many = self.size[pivots]
+        place = np.arange(many.sum()) + np.repeat(self.begin[pivots] - (np.cumsum(many) - many), many)
+        row = np.repeat(np.arange(len(pivots)) // max(1, self.at.shape[1]), many)
+        counts = np.bincount(row * n + self.members[place], np.repeat(self.weight[pivots], many), (j - i) * n)
+        return counts.reshape(j - i, n) + self.base
+
+    def of(self, member: int, others: np.ndarray) -> np.ndarray:
+        """Weighted counts of one member with ``others``."""
+        own = np.zeros(len(self.weight), np.float32)
+        own[self.at[member]] = self.weight[self.at[member]]
+        return own[self.at[others]].sum(axis=1) + self.base
+
+
+def enough(counts: np.ndarray, least: int) -> np.ndarray:
+    """Whether a pair shares ``least`` pivots, the list's own first among them."""
+    return (counts >= least) & (counts < BEFORE)
 
 
 def slack(dimensions: int) -> float:
@@ -100,14 +130,14 @@ def slack(dimensions: int) -> float:
     return 2.5 * dimensions**0.5 / STEPS + 1e-5
 
 
-def _close(x: np.ndarray, i: int, j: int, may: np.ndarray, least: float) -> np.ndarray:
-    """``may`` where the cosine is ``least`` at least: pair by pair where few may be."""
+def _close(x: np.ndarray, i: int, may: np.ndarray, least: float) -> np.ndarray:
+    """``may`` (rows from i on x all) where the cosine is ``least`` at least: pair by pair where few may be."""
     if may.sum() * 8 > may.size:
-        return may & (x[i : i + may.shape[0]] @ x[j : j + may.shape[1]].T >= least)
+        return may & (x[i : i + len(may)] @ x.T >= least)
     a, b = np.nonzero(may)
     for k in range(0, len(a), 1 << 16):
         part = slice(k, k + (1 << 16))
-        may[a[part], b[part]] = np.einsum("nd,nd->n", x[i + a[part]], x[j + b[part]]) >= least
+        may[a[part], b[part]] = np.einsum("nd,nd->n", x[i + a[part]], x[b[part]]) >= least
     return may
 
 
@@ -120,22 +150,21 @@ def list_links(
     n = len(x)
     counts = Shared(near, pivot)
     busy = np.zeros(n, dtype=bool)
-    for i in range(0, n, block):
-        for j in range(i, n, block):
-            may = counts.enough(slice(i, i + block), slice(j, j + block), shared)
-            if i == j:
-                may &= np.tri(*may.shape, -1, dtype=bool)
-            if may.any():
-                hit = _close(x, i, j, may, least)
-                busy[i : i + block] |= hit.any(axis=1)
-                busy[j : j + block] |= hit.any(axis=0)
+    step = max(1, min(n, block * block // n))
+    for i in range(0, n, step):
+        may = enough(counts.rows(i, min(n, i + step)), shared)
+        may &= np.arange(n) > np.arange(i, i + len(may))[:, None]
+        if may.any():
+            hit = _close(x, i, may, least)
+            busy[i : i + len(hit)] |= hit.any(axis=1)
+            busy |= hit.any(axis=0)
     left = np.flatnonzero(busy)
     us, vs = [], []
     while len(left):
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             at = queue.pop()
-            which = np.flatnonzero(counts.enough(left, slice(at, at + 1), shared)[:, 0])
+            which = np.flatnonzero(enough(counts.of(at, left), shared))
             cosine = x[left[which]] @ x[at]
             which, cosine = which[cosine >= least], cosine[cosine >= least]
             if len(which):

@@ -32,9 +32,7 @@ def test_links_connect_a_list():
     near = np.argsort(-(x @ x[:15].T), axis=1)[:, :5].astype(np.int32)
     for block in (7, 1000):
         u, v = V.list_links(near, x, 0.9, 2, block)
-        every = slice(None)
-        ok = (x @ x.T >= 0.9) & V.Shared(near).enough(every, every, 2)
-        assert (V.Shared(near).enough(every, every, 2) == [[len({*a} & {*b}) >= 2 for b in near.tolist()] for a in near.tolist()]).all()
+        ok = (x @ x.T >= 0.9) & ([[len({*a} & {*b}) >= 2 for b in near.tolist()] for a in near.tolist()])
         want, got = ok.copy(), np.eye(90, dtype=bool)
         got[u, v] = got[v, u] = True
         for _ in range(8):
@@ -89,13 +87,19 @@ def test_each_length_is_indexed(spark):
 
 def test_each_pair_is_verified_in_the_list_of_its_first_shared_pivot():
     rng = np.random.default_rng(5)
-    near = np.array([rng.choice(40, 6, replace=False) for _ in range(120)], np.int32)
-    seen = np.zeros((120, 120), int)
-    for pivot in range(40):
-        own = np.flatnonzero((near == pivot).any(axis=1))
-        seen[np.ix_(own, own)] += V.Shared(near[own], pivot).enough(slice(None), slice(None), 2)
-    want = np.array([[len({*a} & {*b}) >= 2 for b in near.tolist()] for a in near.tolist()])
-    assert (seen == want).all()
+    for names, ways in ((40, {True}), (2000, {False})):  # counted by a product, and by lists
+        near = np.array([np.append(rng.choice(names, 5, replace=False), 9999) for _ in range(120)], np.int32)
+        seen, used = np.zeros((120, 120), int), set()
+        for pivot in np.unique(near):
+            own = np.flatnonzero((near == pivot).any(axis=1))
+            counts = V.Shared(near[own], int(pivot))
+            used.add(counts.there is not None)
+            made = np.concatenate([counts.rows(i, min(i + 7, len(own))) for i in range(0, len(own), 7)])
+            assert all((counts.of(k, np.arange(len(own))) == made[k]).all() for k in range(len(own)))
+            seen[np.ix_(own, own)] += V.enough(made, 2)
+        assert used >= ways
+        want = np.array([[len({*a} & {*b}) >= 2 for b in near.tolist()] for a in near.tolist()])
+        assert (seen == want).all()
 
 
 def test_a_chain_of_three(spark):
