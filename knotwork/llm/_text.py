@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import ctypes
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -92,6 +94,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return mix(words), np.searchsorted(begin, at)
 
 
+#: Bytes that a task is given of what is shuffled by keys.
+TASK_BYTES = 64 << 20
+
+
+def by_keys(df: DataFrame, size: float, *keys: str) -> DataFrame:
+    """``df``, of about ``size`` bytes, partitioned by ``keys``: in as many parts as the session says, which may then be
+    joined where they are small, or in as many as bring a part below ``TASK_BYTES``."""
+    least = math.ceil(size / TASK_BYTES)
+    if least > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        return df.repartition(least, *keys)
+    return df.repartition(*keys)
+
+
 def batches(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches that hold rows. After the last one the worker, which lives on, gives back the memory it has freed."""
     try:

@@ -5,7 +5,9 @@ end, are its documents again, each followed by an empty line.
 
 Scale: a source is split by hash into buckets of about ``bucket_tokens`` tokens, each packed on its own, so that a hot
 source is many tasks. What is known of the corpus is (source, bucket) -> tokens, an aggregate. Slots are drawn and mapped
-to blocks as numbers; they meet the documents in one shuffle on (source, bucket), in which the texts move once.
+to blocks as numbers; they meet the documents in one shuffle on (source, bucket), in which the texts move once. A shard
+holds a row for each source that it drew, not for every source; sums over the shards and buckets before one are taken in
+ranges, so that a hot source is no single window. The driver and each worker hold a name, a weight and a size a source.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knotwork.llm._text import MASK, batches, buffers
+from knotwork.llm._text import MASK, batches, buffers, by_keys
 from knotwork.operators.lineage import cut
 
 BLOCKS = (
@@ -71,7 +73,9 @@ def _counter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, raw = buffers(batch["text"])
         starts = token_starts(raw, at)
         n = np.diff(np.searchsorted(starts, at))
-        yield pa.RecordBatch.from_arrays([batch["source"], batch["fine"], pa.array(n.astype(np.int64))], names=["source", "fine", "n"])
+        yield pa.RecordBatch.from_arrays(
+            [batch["source"], batch["fine"], pa.array(n.astype(np.int64)), pa.array(np.diff(at))], names=["source", "fine", "n", "bytes"]
+        )
 
 
 def _scramble(x: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -102,11 +106,26 @@ def permute(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def draw(shards: np.ndarray, slots: np.ndarray, weights: np.ndarray, seed: int) -> np.ndarray:
-    """shards x sources: multinomial counts, the same for a shard wherever it is drawn."""
-    return np.stack(
-        [np.random.Generator(np.random.Philox(key=[seed, int(s)])).multinomial(int(n), weights) for s, n in zip(shards, slots)]
-    )
+def draw(shard: int, slots: int, upto: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sources drawn for a shard, how often each): multinomial counts, as of ``slots`` draws by weight, the same wherever the
+    shard is drawn. upto: the weights' running sums, the last one 1."""
+    picks = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).random(int(slots))
+    return np.unique(np.searchsorted(upto, picks, side="right"), return_counts=True)
+
+
+RANGE = 4096  # rows that one window adds up
+
+
+def running(df: DataFrame, key: str, order: str, value: str, to: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the rows of its ``key`` with a lower ``order``: integers from 0, each once."""
+    ranged = df.withColumn("__range", F.expr(f"{order} div {RANGE}"))
+    upto = [W.unboundedPreceding, -1]
+    whole = ranged.groupBy(key, "__range").agg(F.sum(value).alias("__sum"))
+    before = W.partitionBy(key).orderBy("__range").rowsBetween(*upto)  # a row for each range
+    bases = whole.select(key, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__base"))
+    inside = W.partitionBy(key, "__range").orderBy(order).rowsBetween(*upto)
+    met = ranged.join(bases, [key, "__range"])
+    return met.withColumn(to, F.col("__base") + F.coalesce(F.sum(value).over(inside), F.lit(0))).drop("__range", "__base")
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -123,27 +142,24 @@ def _fine(seed: int, fine: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(fine))
 
 
-def _drawer(names: list[str], weights: list[float], total: int, p: MixParams):
+def _drawer(weights: np.ndarray, total: int, p: MixParams):
+    upto = np.cumsum(weights)
+    upto[np.flatnonzero(weights)[-1] :] = 1  # whatever rounding left
+
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            shard = part["id"].to_numpy()
-            slots = np.minimum(p.slots_per_shard, total - shard * p.slots_per_shard)
-            counts = draw(shard, slots, np.array(weights), p.seed)
-            start = np.cumsum(counts, axis=1) - counts
-            yield pd.DataFrame(
-                {
-                    "shard": np.repeat(shard, len(names)),
-                    "slots": np.repeat(slots, len(names)),
-                    "source_id": np.tile(np.arange(len(names)), len(shard)),
-                    "n": counts.reshape(-1),
-                    "start": start.reshape(-1),
-                }
-            )
+            for i in range(0, len(part), 256):
+                rows = []
+                for shard in part["id"].to_numpy()[i : i + 256].tolist():
+                    slots = min(p.slots_per_shard, total - shard * p.slots_per_shard)
+                    source, n = draw(shard, slots, upto, p.seed)
+                    rows.append((np.full(len(source), shard), np.full(len(source), slots), source, n, np.cumsum(n) - n))
+                yield pd.DataFrame(dict(zip(("shard", "slots", "source_id", "n", "start"), map(np.concatenate, zip(*rows)))))
 
     return run
 
 
-def _placer(sizes: list[int], names: list[str], p: MixParams):
+def _placer(sizes: np.ndarray, names: np.ndarray, p: MixParams):
     def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             n = part["n"].to_numpy()
@@ -152,11 +168,11 @@ def _placer(sizes: list[int], names: list[str], p: MixParams):
                 continue
             nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             source = part["source_id"].to_numpy()[row]
-            ordinal, size = part["before"].to_numpy()[row] + nth, np.array(sizes)[source]
+            ordinal, size = part["before"].to_numpy()[row] + nth, sizes[source]
             key = np.uint64(p.seed) + np.uint64(1000003) * source.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15) * (ordinal // size).astype(np.uint64)
             shard = part["shard"].to_numpy()[row]
             slot = permute(part["start"].to_numpy()[row] + nth, part["slots"].to_numpy()[row], np.uint64(~p.seed & (1 << 62)) + shard.astype(np.uint64))
-            yield pd.DataFrame({"shard": shard, "slot": slot, "source": np.array(names, dtype=object)[source], "index": permute(ordinal % size, size, key)})
+            yield pd.DataFrame({"shard": shard, "slot": slot, "source": names[source], "index": permute(ordinal % size, size, key)})
 
     return run
 
@@ -243,13 +259,14 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     fine = 1 << max(6, (max(many, 1) // 512).bit_length())
     counted = cut(
         rows.select("source", _fine(p.seed, fine).alias("fine"), "text")
-        .mapInArrow(_counter, "source string, fine long, n long")
+        .mapInArrow(_counter, "source string, fine long, n long, bytes long")
         .groupBy("source", "fine")
-        .agg(F.sum("n").alias("n")),
+        .agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")),
         "tokens",
     )
     # the sources are a dimension that the weights name one by one
-    totals = {r["source"]: r["n"] for r in counted.groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    summed = counted.groupBy("source").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).collect()
+    totals, size_of_all = {r["source"]: r["n"] for r in summed}, sum(r["bytes"] for r in summed)
     share = dict(p.weights) if p.weights is not None else {s: n**p.alpha for s, n in totals.items()}
     names = sorted(s for s in totals if share.get(s, 0) > 0)
     if not names:
@@ -261,16 +278,15 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 
     bucket = F.pmod("fine", "buckets").alias("bucket")
     blocks = counted.join(split, "source").groupBy("source", bucket).agg(F.ceil(F.sum("n") / F.lit(p.block_tokens)).cast("long").alias("blocks"))
-    before = W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    layout = cut(blocks.select("source", "bucket", "blocks", F.coalesce(F.sum("blocks").over(before), F.lit(0)).alias("base")), "layout")
+    layout = cut(running(blocks, "source", "bucket", "blocks", "base"), "layout")
     size = {r["source"]: r["n"] for r in layout.groupBy("source").agg(F.sum("blocks").alias("n")).collect()}
     total = max(1, round(sum(size.values()) * p.epochs))
 
     shards = spark.range(-(-total // p.slots_per_shard))
-    drawn = shards.mapInPandas(_drawer(names, weights.tolist(), total, p), "shard long, slots long, source_id long, n long, start long")
-    earlier = W.partitionBy("source_id").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
-    drawn = drawn.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-    slots = drawn.mapInPandas(_placer([size[s] for s in names], names, p), "shard long, slot long, source string, index long")
+    drawn = cut(shards.mapInPandas(_drawer(weights, total, p), "shard long, slots long, source_id long, n long, start long"), "draws")
+    placed = running(drawn, "source_id", "shard", "n", "before")
+    sizes = np.array([size[s] for s in names])
+    slots = placed.mapInPandas(_placer(sizes, np.array(names, dtype=object), p), "shard long, slot long, source string, index long")
 
     cell = 1024  # the range join of slots and buckets is an equal join on cells of so many blocks
     spans = layout.where("blocks > 0").select(
@@ -288,7 +304,7 @@ def mix(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
         .withColumns(no_slot | {"bucket": F.pmod("fine", "buckets"), "kind": F.lit(2), "order": F.xxhash64(F.lit(p.seed + 1), "doc_id", "text"), "index": F.lit(None).cast("long")})
         .select(order)
     )
-    every = begin.unionByName(asked).unionByName(texts).repartition("source", "bucket").sortWithinPartitions("source", "bucket", "kind", "order", "doc_id", "text")
+    every = by_keys(begin.unionByName(asked).unionByName(texts), size_of_all, "source", "bucket").sortWithinPartitions("source", "bucket", "kind", "order", "doc_id", "text")
     return every.mapInArrow(_packer(p.block_tokens), BLOCKS)
 
 
