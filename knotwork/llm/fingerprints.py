@@ -1,10 +1,11 @@
 """Fingerprints by content-defined chunks: normalised gear-hash boundaries, digest sets weighted by length, containment.
 
-Scale: documents of one chunk set are one class from the start, so that copies cost nothing more. A chunk that stands in
-one class only can prove nothing; what share of a class the others make up bounds its containment, and classes below the
-threshold are gone before any pair is formed. Of the rest, only the rarest chunks seek candidates: a class that has none
-of the chunks making up more than 1 - threshold of another's length can't contain it. That is exact, and spares chunks
-that stand everywhere.
+Scale: the texts are chunked once, and what comes of them moves once, (class, chunk) by chunk. Documents of one chunk set are
+one class from the start, so that copies cost nothing more. A chunk that stands in one class only can prove nothing and is
+gone after that; what share of a class the others make up bounds its containment, and classes below the threshold are gone
+before any pair is formed. Of the rest, only the rarest chunks seek candidates: a class that has none of the chunks making
+up more than 1 - threshold of another's length can't contain it. That is exact, and spares chunks that stand everywhere.
+The result lists pairs of classes, not of documents; n classes that contain each other are n * (n - 1) of them.
 """
 
 from __future__ import annotations
@@ -122,42 +123,101 @@ def _chunker(p: ChunkParams):
     return run
 
 
+def check(p: ChunkParams) -> None:
+    if p.most > 0xFFFF or not p.usual.bit_length() + p.normal <= p.window <= min(32, p.least - 1):
+        raise ValueError("a chunk has at most 65535 bytes and more than the window, and the window holds the bits of a boundary")
+
+
 def fingerprints(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     """(doc_id, class, total, chunks) of every row with a text: its set of digests, sorted, their lengths' sum, and a name
     that rows of equal sets share. Null and empty texts have none."""
-    if p.most > 0xFFFF or not p.usual.bit_length() + p.normal <= p.window <= min(32, p.least - 1):
-        raise ValueError("a chunk has at most 65535 bytes and more than the window, and the window holds the bits of a boundary")
+    check(p)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_chunker(p), CHUNKED)
 
 
+POSTINGS = "class long, chunk long, doc_id long, total long"
+
+
+def _poster(p: ChunkParams):
+    """Of each text a row (class, chunk) for each chunk, and one (class, null, doc_id, total)."""
+    run = _chunker(p)
+
+    def post(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(parts):
+            if not batch.num_rows:
+                continue
+            chunks, names = np.asarray(batch["chunks"].flatten()), np.asarray(batch["class"])
+            many = np.asarray(batch["chunks"].value_lengths())
+            none = pa.nulls(len(chunks), pa.int64())
+            columns = [pa.array(np.repeat(names, many)), pa.array(chunks), none, none]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "chunk", "doc_id", "total"])
+            columns = [batch["class"], pa.nulls(len(names), pa.int64()), batch["doc_id"], batch["total"]]
+            yield pa.RecordBatch.from_arrays(columns, names=["class", "chunk", "doc_id", "total"])
+
+    return post
+
+
+def postings(docs: DataFrame, p: ChunkParams) -> DataFrame:
+    """(class, chunk, df, doc_id, total): chunks that two classes or more hold, with how many do, and a row with a null chunk
+    for each document. Nothing is in it twice."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    place = F.coalesce("chunk", "class")
+    every = rows.mapInArrow(_poster(p), POSTINGS).withColumn("place", place).repartition("place").distinct()
+    df = F.count("*").over(W.partitionBy("place", "chunk"))
+    return every.withColumn("df", df).where("chunk is null or df > 1").drop("place")
+
+
+SEEKERS = "class long, total long, chunks array<bigint>, seek array<bigint>"
+
+
+def _seeker(p: ChunkParams):
+    """Of classes with enough shared chunks, those chunks, and the rarest of them, without which there is no containment."""
+
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts):
+            lists = batch["items"]
+            many = np.asarray(lists.value_lengths())
+            row = np.repeat(np.arange(len(many)), many)
+            items = lists.flatten()
+            chunk, df = np.asarray(items.field("chunk")), np.asarray(items.field("df"))
+            order = np.lexsort((chunk, df, row))
+            chunk, size = chunk[order], chunk[order] & 0xFFFF
+            begin = np.cumsum(many) - many
+            upto = np.concatenate([[0], np.cumsum(size)])
+            total = np.asarray(batch["total"])
+            shareable = upto[begin + many] - upto[begin]
+            # chunks of one class only come first in the order of rarity: they are what is missing from shareable
+            before = upto[:-1] - upto[begin][row] + (total - shareable)[row]
+            seek = (before <= (1 - p.threshold) * total[row]) & (shareable >= p.threshold * total)[row]
+            ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch["class"],
+                    batch["total"],
+                    pa.ListArray.from_arrays(ends(many), pa.array(chunk)),
+                    pa.ListArray.from_arrays(ends(np.bincount(row[seek], minlength=len(many))), pa.array(chunk[seek])),
+                ],
+                names=["class", "total", "chunks", "seek"],
+            )
+
+    return run
+
+
 def class_containment(held: DataFrame, classes: DataFrame, p: ChunkParams) -> DataFrame:
-    """(class, container, shared) of classes whose chunks another class holds to ``threshold`` of their length. held:
-    (class, chunk), repeated rows count once; classes: (class, total)."""
-    length = F.col("chunk").bitwiseAND(0xFFFF)
-    df = F.count("*").over(W.partitionBy("chunk"))
-    spread = held.repartition("chunk").distinct().withColumn("df", df).where("df > 1")
+    """(class, container, total, shared) of classes whose chunks another class holds to ``threshold`` of their length.
+    held: (class, chunk, df) of chunks that two classes or more hold, each row once; classes: (class, total)."""
     # two classes have no other chunks in common than these
-    common = cut(spread.groupBy("class").agg(F.collect_list("chunk").alias("chunks"), F.collect_list("df").alias("dfs"), F.sum(length).alias("shareable")), "chunks")
-    hopeful = common.join(classes, "class").where(F.col("shareable") >= p.threshold * F.col("total"))
-    own = W.partitionBy("class").orderBy("df", "chunk").rowsBetween(W.unboundedPreceding, -1)
-    items = hopeful.select("class", "total", "shareable", F.explode(F.arrays_zip("chunks", "dfs")).alias("x"))
-    ordered = items.select("class", "total", "shareable", F.col("x.chunks").alias("chunk"), F.col("x.dfs").alias("df"))
-    ordered = ordered.withColumn("before", F.coalesce(F.sum(length).over(own), F.lit(0)))
-    # chunks of df 1 come first in the order of rarity: they are what is missing from shareable
-    seekers = ordered.where(F.col("before") + F.col("total") - F.col("shareable") <= (1 - p.threshold) * F.col("total"))
-    holders = common.select(F.col("class").alias("container"), F.explode("chunks").alias("chunk"))
-    pairs = seekers.select("class", "chunk").join(holders, "chunk").where("class <> container").select("class", "container").distinct()
-    a = hopeful.select("class", "total", F.col("chunks").alias("a"))
-    b = common.select(F.col("class").alias("container"), F.col("chunks").alias("b"))
+    common = held.groupBy("class").agg(F.collect_list(F.struct("chunk", "df")).alias("items")).join(classes, "class")
+    sought = cut(common.select("class", "total", "items").mapInArrow(_seeker(p), SEEKERS), "chunks")
+    seekers = sought.select("class", F.explode("seek").alias("chunk"))
+    holders = sought.select(F.col("class").alias("container"), F.explode("chunks").alias("chunk"))
+    pairs = seekers.join(holders, "chunk").where("class <> container").select("class", "container").distinct()
+    a = sought.where("size(seek) > 0").select("class", "total", F.col("chunks").alias("a"))
+    b = sought.select(F.col("class").alias("container"), F.col("chunks").alias("b"))
     both = F.aggregate(F.array_intersect("a", "b"), F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(0xFFFF))
-    return (
-        pairs.join(a, "class")
-        .join(b, "container")
-        .select("class", "container", "total", both.alias("shared"))
-        .where(F.col("shared") >= p.threshold * F.col("total"))
-        .select("class", "container", "shared")
-    )
+    met = pairs.join(a, "class").join(b, "container").select("class", "container", "total", both.alias("shared"))
+    return met.where(F.col("shared") >= p.threshold * F.col("total"))
 
 
 def containment(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
@@ -168,15 +228,16 @@ def containment(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
     named so, and each other row of a class has its class's name as a container, with containment 1. Null and empty
     texts contain nothing and are in nothing; rows of one id and set count once. Other columns are ignored.
     """
-    made = cut(fingerprints(docs, p), "fingerprints")
-    names = cut(made.groupBy("class").agg(F.min("doc_id").alias("name"), F.first("total").alias("total")), "classes")
-    found = class_containment(made.select("class", F.explode("chunks").alias("chunk")), names.select("class", "total"), p)
+    check(p)
+    made = cut(postings(docs, p), "postings")
+    members = made.where("chunk is null").select("doc_id", "class", "total")
+    names = cut(members.groupBy("class").agg(F.min("doc_id").alias("name"), F.first("total").alias("total")), "classes")
+    found = class_containment(made.where("chunk is not null").select("class", "chunk", "df"), names.select("class", "total"), p)
     outer = found.join(names.select(F.col("class").alias("container"), F.col("name").alias("container_id")), "container").select("class", "container_id", "shared")
-    members = made.select("doc_id", "class").distinct()
-    several = members.join(names, "class").where(~F.col("doc_id").eqNullSafe(F.col("name"))).select(
+    several = members.join(names.select("class", "name"), "class").where(~F.col("doc_id").eqNullSafe(F.col("name"))).select(
         "doc_id", F.col("name").alias("container_id"), F.lit(1.0).alias("containment"), F.col("total").alias("shared_bytes"), F.col("total").alias("total_bytes")
     )
-    others = members.join(outer, "class").join(names.select("class", "total"), "class").select(
+    others = members.join(outer, "class").select(
         "doc_id", "container_id", (F.col("shared") / F.col("total")).alias("containment"), F.col("shared").alias("shared_bytes"), F.col("total").alias("total_bytes")
     )
     return several.unionByName(others)

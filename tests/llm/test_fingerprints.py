@@ -103,3 +103,56 @@ def test_query_finds_an_embedded_document(spark, make, prose, tmp_path):
     make([(1, text), (2, prose(2, 200) + " " + text + " " + prose(3, 200)), (3, edited(text, 4))]).write.parquet(str(tmp_path / "documents.parquet"))
     found = {(r["doc_id"], r["container_id"]) for r in op7_fingerprints(spark, str(tmp_path)).collect()}
     assert {(1, 2), (1, 3), (3, 1)} <= found
+
+
+def plain_chunks(data, p):
+    """(digest, length) of each chunk of a text by one loop over its bytes."""
+    table, bits, out, begin = Z.gear_table(p.seed), p.usual.bit_length() - 1, [], 0
+    mask = lambda n: ((1 << n) - 1) << (32 - n)
+    while begin < len(data):
+        stop = min(len(data), begin + p.most)
+        for i in range(begin, stop):
+            size = i - begin + 1
+            if size < p.least:
+                continue
+            h = 0
+            for byte in data[i - p.window + 1 : i + 1]:
+                h = ((h << 1) + int(table[byte])) & 0xFFFFFFFF
+            h = (h << (32 - p.window)) & 0xFFFFFFFF
+            if h & mask(bits + p.normal if size < p.usual else bits - p.normal) == 0:
+                stop = i + 1
+                break
+        out.append(data[begin:stop])
+        begin = stop
+    return out
+
+
+def test_boundaries_against_a_plain_loop(prose):
+    rng = np.random.default_rng(4)
+    texts = [prose(i, 400) for i in range(6)] + ["", "x", "y" * 5000, bytes(rng.integers(97, 105, 3000).astype(np.uint8)).decode()]
+    for p in (Z.FINE, Z.ChunkParams()):
+        digest, size, rows = Z.chunk_rows(pa.array(texts), p)
+        names = {}
+        for i, text in enumerate(texts):
+            want = plain_chunks(text.encode(), p)
+            assert size[rows[i] : rows[i + 1]].tolist() == [len(c) for c in want]
+            for d, c in zip(digest[rows[i] : rows[i + 1]].tolist(), want):
+                assert names.setdefault(c, d) == d  # equal chunks have equal digests
+        assert len(set(names.values())) == len(names)
+
+
+def test_fine_containment_of_hot_chunks_matches_brute_force(make, prose):
+    shared = prose(700, 120)
+    rows = [(i, f"{shared} {prose(i, 30 + i % 5)}") for i in range(60)] + [(100 + i, edited(prose(3, 300), i, 1 + i % 9)) for i in range(30)]
+    rows += [(200, shared), (None, shared), (201, shared), (201, shared), (202, "")]
+    got = {(r["doc_id"], r["container_id"], r["containment"]) for r in Z.containment(make(rows), Z.FINE).collect()}
+    names, own = {}, {}
+    for (i, _), s in zip(rows, sets([t for _, t in rows], Z.FINE)):
+        if s:
+            names.setdefault(frozenset(s), []).append(i)
+            own.setdefault((i, frozenset(s)))
+    weight = lambda s: sum(x & 0xFFFF for x in s)
+    least = {s: min(i for i in ids if i is not None) for s, ids in names.items()}
+    want = {(i, least[s], 1.0) for i, s in own if least[s] != i}
+    want |= {(i, least[o], weight(s & o) / weight(s)) for i, s in own for o in names if o != s and weight(s & o) >= 0.8 * weight(s)}
+    assert got == want and len(want) > 200
