@@ -24,9 +24,9 @@ PATTERNS: tuple[tuple[str, str], ...] = (
     ("json_web_token", r"\b(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})\b"),
     ("private_key", r"(-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----(?s:.*?)(?:-----END|(?=-----BEGIN)|\z))"),
     (
-        "assigned_secret",  # with a name before and after the word, in JSON, and without quotes unless a call or an index follows
+        "assigned_secret",  # with a name before and after the word, in JSON, and without quotes; with what stands around the value
         r"(?i)(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[A-Za-z0-9_.-]{0,64}(?:\\?[\"'])?[ \t]*(?:=>|:=|[=:])[ \t]*"
-        r"(?:\\?[\"']|(?=[0-9A-Za-z+/_]))([0-9A-Za-z+/=_.-]{15,127}[0-9A-Za-z+/=_.-](?<!\.(?![\"'\\])))(?![0-9A-Za-z+/=_(\[-]|\.[0-9A-Za-z])",
+        r"((?:\\?[\"'])?[0-9A-Za-z+/=_.-]{16,}[\\\"'(\[]?)",
     ),
 )
 
@@ -52,9 +52,22 @@ def _key_body(block: Column) -> Column:
     return F.when(body == "", F.regexp_extract(block, r"^-----BEGIN [A-Z0-9 ]+-----", 0)).otherwise(body)
 
 
+def _assigned(x: Column) -> Column:
+    """The value of an assignment, or null: 16 to 128 characters; not what is called or indexed. A sentence's dots behind it go."""
+    body = F.regexp_replace(x, r"^\\?[\"']", "")
+    tail = F.regexp_extract(body, r"[\\\"'(\[]$", 0)
+    run = F.regexp_replace(body, r"[\\\"'(\[]$", "")
+    value = F.when(tail.isin("\\", '"', "'"), run).otherwise(F.regexp_replace(run, r"\.+$", ""))
+    fits = ~tail.isin("(", "[") & F.length(value).between(16, 128) & ((body != x) | value.rlike("^[0-9A-Za-z+/_]"))
+    return F.when(fits, value)
+
+
 def _found(text: Column) -> Column:
+    clean = {"private_key": _key_body, "assigned_secret": _assigned}
+
     def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), lambda s: F.struct(F.lit(kind).alias("kind"), (_key_body(s) if kind == "private_key" else s).alias("secret")))
+        made = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), clean.get(kind, lambda s: s))
+        return F.transform(F.filter(made, lambda s: s.isNotNull()), lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("secret")))
 
     return F.concat(*(of(kind, pattern) for kind, pattern in PATTERNS))
 
@@ -99,7 +112,8 @@ def scan(docs: DataFrame, p: SecretParams = SecretParams()) -> DataFrame:
     verdict: 'shared_example' if ``shared_owners`` owners or more hold it; else 'live_looking' if its characters vary
     enough, or it is a private key; else 'placeholder'. Columns: doc_id, repository, kind, hash, occurrences,
     repositories, owners, corpus_occurrences, verdict. A null owner or repository counts for none; null and empty texts
-    hold nothing; rows of one doc_id and repository are one document here, their occurrences summed. Other columns are ignored.
+    hold nothing, an empty table gives no rows; texts are read whole, however long. Rows of one doc_id, repository and owner
+    are one document here, their occurrences summed. Other columns are ignored.
     """
     found = cut(candidates(docs, p), "secrets")
     met = found.join(ownership(found), "hash")
@@ -116,18 +130,34 @@ def _quoted(pattern: str) -> str:
     return pattern.replace("'", "''")
 
 
-#: The SQL finds less: of private keys the header only, and quoted values after bare names. Only syntax that Java and RE2 read alike.
-ORACLE_PATTERNS = (
-    *PATTERNS[:6],
-    ("private_key", r"(-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----)"),
-    ("assigned_secret", r"(?i)\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)[ ]?[=:][ ]?[\"']([0-9A-Za-z+/=_.-]{16,128})[\"']"),
+_PLAIN = "\nUNION ALL\n".join(
+    f"SELECT doc_id, source, '{kind}' AS kind, unnest(regexp_extract_all(text, '{_quoted(pattern)}', 1)) AS s FROM documents" for kind, pattern in PATTERNS[:6]
 )
-ORACLE = (
-    "WITH found AS (\n"
-    + "\nUNION ALL\n".join(
-        f"SELECT doc_id, source, '{kind}' AS kind, unnest(regexp_extract_all(text, '{_quoted(pattern)}', 1)) AS s FROM documents" for kind, pattern in ORACLE_PATTERNS
-    )
-    + """
+#: Private keys are cut out between one "-----BEGIN" and the next, as RE2 can't look ahead.
+ORACLE = rf"""
+WITH pieces AS (
+  SELECT doc_id, source, '-----BEGIN' || unnest(string_split(text, '-----BEGIN')[2:]) AS piece FROM documents
+), keys AS (
+  SELECT doc_id, source, regexp_extract(piece, '^-----BEGIN (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY(?: BLOCK)?-----') AS head,
+         regexp_extract(piece, '(?s)^-----BEGIN (?:[A-Z0-9]+ ){{0,3}}PRIVATE KEY(?: BLOCK)?-----(.*?)(-----END|\z)', ['body', 'stop']) AS m FROM pieces
+), bodies AS (
+  SELECT doc_id, source, head, regexp_replace(CASE WHEN m.stop = '-----END' THEN m.body ELSE regexp_extract(m.body, '^[A-Za-z0-9+/=\\\s]*') END,
+         '\\[nrt]|\s', '', 'g') AS body FROM keys WHERE head <> ''
+), assignments AS (
+  SELECT doc_id, source, unnest(regexp_extract_all(text, '{_quoted(PATTERNS[7][1])}', 1)) AS x FROM documents
+), opened AS (
+  SELECT *, regexp_replace(x, '^\\?["'']', '') AS inner_text FROM assignments
+), closed AS (
+  SELECT *, regexp_extract(inner_text, '[\\"''(\[]$') AS tail, regexp_replace(inner_text, '[\\"''(\[]$', '') AS run FROM opened
+), assigned AS (
+  SELECT *, CASE WHEN tail IN (chr(92), '"', '''') THEN run ELSE regexp_replace(run, '\.+$', '') END AS s FROM closed
+), found AS (
+{_PLAIN}
+UNION ALL
+SELECT doc_id, source, 'private_key', CASE WHEN body = '' THEN head ELSE body END FROM bodies
+UNION ALL
+SELECT doc_id, source, 'assigned_secret', s FROM assigned
+WHERE tail NOT IN ('(', '[') AND length(s) BETWEEN 16 AND 128 AND (inner_text <> x OR regexp_matches(s, '^[0-9A-Za-z+/_]'))
 ), seen AS (
   SELECT doc_id, source, kind, s, count(*) AS occurrences FROM found GROUP BY doc_id, source, kind, s
 ), held AS (
@@ -143,4 +173,3 @@ SELECT doc_id, source AS repository, kind, sha256(s) AS hash, occurrences, owner
             ELSE 'placeholder' END AS verdict
 FROM seen JOIN held USING (s)
 """
-)
