@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import base64
 import os
-import uuid
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,11 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 import tiktoken
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.llm._text import BASE, INVERSE, batches, buffers, cached_powers, mix, slices
-from knotwork.operators.lineage import cut, release, shared_dir
+from knotwork.operators.lineage import cut, release, save, scratch
 
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENS = "doc_id long, token_ids array<int>, n_tokens int, round_trip boolean"
@@ -345,22 +344,11 @@ def build_lexicon(docs: DataFrame, p: BpeParams = BpeParams()) -> str:
     top = [] if least is None else [r["word"] for r in counts.where(step >= least).select("word").collect()]
     release(counts)
     flat = compile_lexicon([(bytes(w), vocabulary.merge(bytes(w))) for w in top])
-    path = f"{shared_dir(docs.sparkSession)}/lexicon-{uuid.uuid4().hex}.bin"
+    path = scratch(docs.sparkSession, "lexicon")
     save(docs.sparkSession, path, flat.tobytes())
     return path
 
 
-def save(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write a file of the shared folder, whatever file system that is on."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(target, True)
-    try:
-        for i in range(0, len(data), 8 << 20):
-            out.write(bytearray(data[i : i + (8 << 20)]))
-    finally:
-        out.close()
-
-
 _lexicons: dict[str, Lexicon] = {}
 
 

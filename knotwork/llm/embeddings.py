@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knotwork.llm._text import batches
+from knotwork.llm._text import batches, by_keys
 from knotwork.operators.components import connected_components
 from knotwork.operators.lineage import cut
 
@@ -241,7 +241,8 @@ def near_duplicates(vectors: DataFrame, p: EmbeddingParams = EmbeddingParams())
         own = nodes.where(F.size("v") == length["n"])
         pivots = choose_pivots(own, length["n"], length["count"], p)
         lists = own.select("node", "v").mapInArrow(_indexer(pivots, p.prefix), "pivot int, node long, near array<int>, code binary")
-        found = found.union(lists.repartition("pivot").sortWithinPartitions("pivot", "node").mapInArrow(_lister(p), "u long, v long"))
+        size = length["count"] * p.prefix * (2 * length["n"] + 4 * p.prefix + 40)
+        found = found.union(by_keys(lists, size, "pivot").sortWithinPartitions("pivot", "node").mapInArrow(_lister(p), "u long, v long"))
     found = found.distinct()
     a = nodes.select(F.col("node").alias("u"), F.col("v").alias("x"))
     b = nodes.select(F.col("node").alias("v"), F.col("v").alias("y"))

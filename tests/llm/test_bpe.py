@@ -77,3 +77,12 @@ def test_messy_rows(messy):
 
 def test_empty_table(make):
     assert bpe.encode(make([])).count() == 0
+
+
+def test_a_very_long_word_of_many_merges(make):
+    rng = random.Random(2)
+    word = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöß", k=400_000))
+    other = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
+    found = {r["doc_id"]: r for r in bpe.encode(make([(1, word), (2, word[:20_000])])).collect()}
+    assert found[2]["token_ids"] == other.encode(word[:20_000], add_special_tokens=False).ids
+    assert found[1]["round_trip"] and bpe.decode(found[1]["token_ids"]) == word
