@@ -72,6 +72,17 @@ def overridden(config: settings.Config, o: argparse.Namespace) -> settings.Confi
     return config
 
 
+def without_effect(config: settings.Config, cyclic_wanted: bool) -> list[str]:
+    """Warnings of settings that another one makes idle."""
+    said = []
+    if not config.resolve.include_ancestor_init:
+        if config.resolve.include_self_ancestor_init:
+            said.append("warning: include-self-ancestor-init has no effect without include-ancestor-init")
+        if config.cycles.ignore_derived_ancestor_init and cyclic_wanted:
+            said.append("warning: ignore-derived-ancestor-init has no effect without include-ancestor-init")
+    return said
+
+
 class Console:
     """Where a run writes; tests read it back."""
 
@@ -118,12 +129,9 @@ def run(args: list[str], spark: SparkSession | None = None, cwd: str | None = No
     if o.check_max_cycles and config.cycles.max_cycles is None:
         console.warn("error: --check-max-cycles needs --max-cycles or max-cycles under [cycles]")
         return 2
-    if config.resolve.include_self_ancestor_init and not config.resolve.include_ancestor_init:
-        console.warn("warning: include-self-ancestor-init has no effect without include-ancestor-init")
     cyclic_wanted = o.dump_cyclic_files or o.check_cyclic_files or o.show_cyclic_files
     derived = config.cycles.ignore_derived_ancestor_init
-    if derived and not config.resolve.include_ancestor_init and cyclic_wanted:
-        console.warn("warning: ignore-derived-ancestor-init has no effect without include-ancestor-init")
+    console.warn(*without_effect(config, cyclic_wanted))
     fallback = derived and config.resolve.include_ancestor_init and cyclic_wanted
     try:
         sources = session().read.schema(SOURCES).parquet(o.sources) if o.sources else read_tree(session(), project, list(config.source_roots))

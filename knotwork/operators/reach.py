@@ -7,12 +7,16 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.functions import paths
 from knotwork.operators.lineage import cut, release
 from knotwork.operators.scc import TASK_EDGES
 
+#: Bytes of names in a graph that is sent to every task.
+SENT_BYTES = 64 << 20
+
 
 def _closure(edges: pd.DataFrame, seeds: pd.DataFrame) -> pd.DataFrame:
     after: dict[str, list[str]] = {}
@@ -104,23 +108,39 @@ def best_paths(edges: DataFrame, cyclic: DataFrame, starts: DataFrame, task_edge
         useful.select(F.col("path").alias("dst")), "dst", "left_semi"
     )
     starts = starts.select("path").distinct().join(useful, "path", "left_semi")
-    if inner.count() <= task_edges:  # bounded, so every task is given the graph and searches its own starts
+    size = inner.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("src") + F.length("dst")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= task_edges and size["bytes"] <= SENT_BYTES:  # every task is given the graph and searches its own starts
         graph = [(r["src"], r["dst"]) for r in inner.collect()]
         scc = {r["node"]: r["scc_id"] for r in cyclic.collect()}
         return starts.mapInPandas(_searcher(graph, scc), BEST)
-    own = cyclic.select(F.col("node").alias("start"), F.col("scc_id").alias("own"))
-    seen = cut(starts.select(F.col("path").alias("start"), F.col("path").alias("node"), F.array("path").alias("path")), "paths")
-    frontier = seen
+    return _best_by_rounds(cut(inner, "inner"), cyclic, starts)
+
+
+def _best_by_rounds(edges: DataFrame, cyclic: DataFrame, starts: DataFrame) -> DataFrame:
+    """``best_paths`` by breadth-first rounds from all starts at once.
+
+    A row is (start, node) with the node before it and the place of its way among those of the round: of equally long ways
+    the first goes on from the first, so that ways need not be carried. They are put together at the end, for entries only.
+    """
+    seen = cut(starts.select(F.col("path").alias("start"), F.col("path").alias("node"), F.lit(None).cast("string").alias("came"), F.lit(1).alias("place"), F.lit(0).alias("n")), "ways")
+    frontier, n = seen, 0
+    place = F.row_number().over(W.partitionBy("start").orderBy("before", paths.path_key("node")))
     while frontier.limit(1).count():
-        step = frontier.join(inner, frontier["node"] == inner["src"]).select("start", F.col("dst").alias("node"), F.concat("path", F.array("dst")).alias("path"))
-        keyed = step.withColumn("k", F.transform("path", lambda p: F.split(p, "/")))
-        first = keyed.groupBy("start", "node").agg(F.min_by("path", "k").alias("path"))
-        frontier = cut(first.join(seen.select("start", "node"), ["start", "node"], "left_anti"), "frontier")
-        grown = cut(seen.unionByName(frontier), "paths")
+        n += 1
+        step = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node"), F.struct(F.col("place").alias("before"), F.col("node").alias("came")).alias("b"))
+        first = step.groupBy("start", "node").agg(F.min("b").alias("b")).join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        placed = first.select("start", "node", "b.came", "b.before").withColumn("place", place)
+        frontier = cut(placed.select("start", "node", "came", "place", F.lit(n).alias("n")), "frontier")
+        grown = cut(seen.unionByName(frontier), "ways")
         release(seen)
         seen = grown
+    own = cyclic.select(F.col("node").alias("start"), F.col("scc_id").alias("own"))
     met = seen.join(cyclic, "node").join(own, "start", "left").where("own is null or own <> scc_id")
-    ranked = met.withColumn("k", F.struct(F.size("path").alias("n"), F.transform("path", lambda p: F.split(p, "/")).alias("p")))
-    return ranked.groupBy("start", "scc_id").agg(F.min_by(F.struct("node", "path"), "k").alias("b")).select(
-        "start", "scc_id", F.col("b.node").alias("entry"), F.col("b.path").alias("path")
-    )
+    best = met.groupBy("start", "scc_id").agg(F.min(F.struct("n", "place", "node")).alias("b"))
+    ways = cut(best.select("start", "scc_id", F.col("b.node").alias("entry"), F.col("b.node").alias("node"), F.array("b.node").alias("path")), "back")
+    for _ in range(n):
+        back = ways.join(seen.select("start", "node", "came"), ["start", "node"])
+        after = cut(back.select("start", "scc_id", "entry", F.coalesce("came", "node").alias("node"), F.when(F.col("came").isNull(), F.col("path")).otherwise(F.concat(F.array("came"), "path")).alias("path")), "back")
+        release(ways)
+        ways = after
+    return ways.select("start", "scc_id", "entry", "path")

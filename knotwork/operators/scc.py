@@ -2,7 +2,10 @@
 
 A component never spans two weakly connected ones, so large graphs are trimmed of nodes that can't be in a cycle, split
 into weak components by star rounds, and each component is searched by one task, all in parallel. A component too large
-for a task is solved by colouring rounds. Small graphs are one task from the start: rounds of shuffles cost more there.
+for a task is contracted first: a node with one edge out of it, or into it, goes, and its edges pass to the other end, so
+that long chains shrink by a share of their nodes in every round; what then fits a task is searched by it, and what shrinks
+no more, a graph of many edges a node, is solved by colouring, in rounds of about its diameter. Small graphs are one task
+from the start: rounds of shuffles cost more there.
 """
 
 from __future__ import annotations
@@ -126,6 +129,59 @@ def color_components(edges: DataFrame) -> DataFrame:
     return found if found is not None else edges.select(F.col("u").alias("node"), F.col("v").alias("root")).limit(0)
 
 
+def _flip(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+
+
+def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """(gone, edges): nodes (u) with one edge only out of them, to v, which stays; and the edges once u is passed over.
+
+    Whoever comes to u goes on to v, so u is in a cycle only with v. Of a chain of such nodes a coin picks those that go,
+    none of them next to another.
+    """
+    single = edges.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("v")).where("n = 1").select("u", "v")
+    coin = lambda c: F.xxhash64(F.lit(turn), c).bitwiseAND(1) == 1
+    picked = single.where(coin("u"))
+    gone = cut(picked.join(picked.select(F.col("u").alias("v")), "v", "left_anti").select("u", "v"), "gone")
+    onward = gone.select(F.col("u").alias("v"), F.col("v").alias("w"))
+    rest = edges.join(gone.select("u"), "u", "left_anti").join(onward, "v", "left").select("u", F.coalesce("w", "v").alias("v"))
+    return gone, cut(rest.where("u <> v").distinct(), "contracted")
+
+
+def _expand(gone: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``roots`` (node, root) with the nodes that a contraction of ``edges`` took: u is in v's component if an edge comes to
+    it from there. Nodes without a row are alone."""
+    of = lambda name, root: roots.select(F.col("node").alias(name), F.col("root").alias(root))
+    into = edges.select(F.col("u").alias("x"), F.col("v").alias("u")).join(gone, "u")
+    met = into.join(of("v", "rv"), "v", "left").join(of("x", "rx"), "x", "left")
+    met = met.where(F.coalesce("rx", "x") == F.coalesce("rv", "v"))
+    found = met.groupBy("u").agg(F.min(F.coalesce("rv", "v")).alias("root"), F.min("v").alias("v"))
+    # v itself may have been alone until now
+    ends = found.select(F.col("v").alias("node"), "root").union(found.select(F.col("u").alias("node"), "root"))
+    return ends.union(roots.select("node", "root")).distinct()
+
+
+def large_components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """(node, root) of a graph that no task can hold; nodes left out are alone."""
+    levels: list[tuple[DataFrame, DataFrame, bool]] = []
+    left = cut(edges.where("u <> v").distinct(), "contracted")
+    many, idle = left.count(), 0
+    while many > task_edges and idle < 4:
+        back = len(levels) % 2 == 1  # nodes with one edge into them are those with one out of them, seen from behind
+        gone, after = _contract(_flip(left) if back else left, len(levels))
+        levels.append((gone, left, back))
+        left = _flip(after) if back else after
+        before, many = many, left.count()
+        idle = idle + 1 if many > 0.98 * before else 0
+    found = left.groupBy().applyInPandas(_search, "node long, root long") if many <= task_edges else color_components(left)
+    roots = cut(found, "roots")
+    for gone, level, back in reversed(levels):
+        after = cut(_expand(gone, _flip(level) if back else level, roots), "roots")
+        release(roots, gone, level)
+        roots = after
+    return roots
+
+
 def component_roots(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(node, root) of distinct edges (u LONG, v LONG): nodes of one strong component have one root. Nodes left out are alone."""
     shape = "node long, root long"
@@ -140,7 +196,7 @@ def component_roots(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame
     found = small.groupBy("component").applyInPandas(_search, shape)
     large = placed.join(size.where(F.col("n") > task_edges).select("component"), "component", "left_semi")
     if large.limit(1).count():
-        found = found.unionByName(color_components(large.select("u", "v")))
+        found = found.unionByName(large_components(large.select("u", "v"), task_edges))
     return found
 
 

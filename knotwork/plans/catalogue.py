@@ -1,7 +1,6 @@
 """The queries of the engine by name, with SQL that gives the same rows.
 
-Graph queries run on the dependency graph of ``data_graph``: parts are files and an order's consecutive lines are
-imports. Queries of ``golden`` run on small sources whose expected rows are given as VALUES. Arrays are shown as joined
+Graph queries run on the dependency graph that ``data_graph`` makes of all order lines. Queries of ``golden`` run on small sources whose expected rows are given as VALUES. Arrays are shown as joined
 strings, so that rows compare as plain values.
 """
 
@@ -21,14 +20,14 @@ from knotwork.operators import trace as T
 from knotwork.operators.lineage import cut
 from knotwork.operators.scc import strong_components
 from knotwork.plans import data_graph as D
-from knotwork.plans import golden, golden_project  # noqa: F401
+from knotwork.plans import golden, golden_cli, golden_project  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 ROOTS = ["src"]
 
 
-def query(sql: str | None = None, recursive: bool = False, modulo: int = D.MODULO, lines: int = D.LINES):
+def query(sql: str | None = None, recursive: bool = False):
     """Register a query under its function's name; SQL may use the tables e, p and d of ``data_graph``."""
 
     def add(f):
@@ -36,7 +35,7 @@ def query(sql: str | None = None, recursive: bool = False, modulo: int = D.MODUL
         if sql is not None:
             head = "WITH RECURSIVE " if recursive else "WITH "
             body = sql.strip()
-            ORACLES[f.__name__] = head + D.sql_edges(modulo, lines) + (", " + body[1:] if body.startswith(",") else "\n" + body)
+            ORACLES[f.__name__] = head + D.SQL_EDGES + (", " + body[1:] if body.startswith(",") else "\n" + body)
         return f
 
     return add
@@ -46,8 +45,8 @@ def joined(column: str, sep: str = ",") -> F.Column:
     return F.array_join(F.col(column).cast("array<string>"), sep).alias(column)
 
 
-def edges_of(spark: SparkSession, sf_dir: str, modulo: int = D.MODULO, lines: int = D.LINES) -> DataFrame:
-    return cut(G.file_edges(D.deps(spark, sf_dir, modulo, lines), G.module_winners(D.files(spark, sf_dir))), "edges")
+def edges_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(G.file_edges(D.deps(spark, sf_dir), G.module_winners(D.files(spark, sf_dir))), "edges")
 
 
 def graph_of(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -117,7 +116,8 @@ def graph_direct(spark, sf_dir):
     return G.file_edges(deps.where("not derived"), G.module_winners(D.files(spark, sf_dir))).select("src", "dst", joined("lines"))
 
 
-CLOSURE = """, r AS (SELECT DISTINCT src, dst FROM d UNION SELECT r.src, d.dst FROM r JOIN d ON r.dst = d.src)
+#: Edges between blocks lead one way, so that cycles are closed inside blocks.
+CLOSURE = """, r AS (SELECT DISTINCT src, dst FROM d WHERE near UNION SELECT r.src, d.dst FROM r JOIN d ON r.dst = d.src WHERE near)
 , m AS (SELECT DISTINCT a.src AS node, a.dst AS other FROM r a JOIN r b ON a.src = b.dst AND a.dst = b.src)
 , s AS (SELECT path AS node, COALESCE(array_to_string(min(string_split(other, '/')), '/'), path) AS scc_id
         FROM p LEFT JOIN m ON m.node = p.path GROUP BY path)
@@ -158,11 +158,11 @@ def cycles_dir_ignored(spark, sf_dir):
     return C.dir_ignored(found, dirs).select("cycle_index", "scc_id", "size", "ignored")
 
 
-@query(CLOSURE + "SELECT cycle_index, scc_id, size = (SELECT min(size) FROM cn) AS suppressed FROM cn", recursive=True)
+@query(CLOSURE + "SELECT cycle_index, scc_id, cycle_index = 1 AS suppressed FROM cn", recursive=True)
 def cycles_ignored(spark, sf_dir):
-    """Cycles that an ignore list names; here the smallest one, its files in reverse."""
+    """Cycles that an ignore list names; here the first one, its files in reverse."""
     found = cycles_of(spark, sf_dir)[2]
-    least = [list(reversed(r["members"])) for r in found.orderBy("size").limit(1).collect()]
+    least = [list(reversed(r["members"])) for r in found.where("cycle_index = 1").collect()]
     return C.list_ignored(found, C.ignore_frame(spark, [*least, ["src/none.py"]])).select("cycle_index", "scc_id", "suppressed")
 
 
@@ -170,7 +170,7 @@ def cycles_ignored(spark, sf_dir):
 def unmatched_ignores(spark, sf_dir):
     """Entries of an ignore list that no cycle has."""
     found = cycles_of(spark, sf_dir)[2]
-    ignore = C.ignore_frame(spark, [*[r["members"] for r in found.orderBy("size").limit(1).collect()], ["src/none.py"]])
+    ignore = C.ignore_frame(spark, [*[r["members"] for r in found.where("cycle_index = 1").collect()], ["src/none.py"]])
     marked = C.list_ignored(found, ignore)
     return C.unmatched_ignores(ignore, marked.where("suppressed")).select("entry", joined("members"))
 
@@ -260,11 +260,13 @@ def size_distribution(spark, sf_dir):
     return C.size_distribution(cycles_of(spark, sf_dir)[2])
 
 
-@query(CLOSURE + "SELECT (SELECT count(*) FROM cn WHERE size = (SELECT min(size) FROM cn)) AS by_list, (SELECT count(*) FROM cn WHERE size > 1000) AS by_dirs", recursive=True)
+@query(CLOSURE + """SELECT count(*) FILTER (cycle_index = 1) AS by_list,
+  count(*) FILTER (len(list_filter(string_split(members, ','), lambda x: starts_with(x, 'src/brand_11/') OR starts_with(x, 'src/brand_12/'))) = size) AS by_dirs FROM cn""", recursive=True)
 def suppressed_count(spark, sf_dir):
     """How many cycles the ignore list and the ignored directories take out."""
     found = cycles_of(spark, sf_dir)[2]
-    marked = C.list_ignored(C.dir_ignored(found, ["lib"]), C.ignore_frame(spark, [r["members"] for r in found.orderBy("size").limit(1).collect()]))
+    named = C.ignore_frame(spark, [r["members"] for r in found.where("cycle_index = 1").collect()])
+    marked = C.list_ignored(C.dir_ignored(found, ["src/brand_11", "src/brand_12/"]), named)
     return marked.agg(F.count_if("suppressed").alias("by_list"), F.count_if("ignored").alias("by_dirs"))
 
 
@@ -326,7 +328,7 @@ TRACE = CLOSURE + """, w AS (SELECT path AS start, path AS node, 0 AS n FROM p W
 
 @query(TRACE + "SELECT node AS start, cycle_index, way[len(way)] AS entry, array_to_string(way, ' ') AS path FROM v WHERE relationship = 'reachable'", recursive=True)
 def trace_best_path(spark, sf_dir):
-    """The best way from every eleventh part to each cycle."""
+    """The best way from every eleventh file to each cycle."""
     _, edges, found = cycles_of(spark, sf_dir)
     starts = D.part_paths(spark, sf_dir).where("part % 11 = 0").select("path")
     ways = A.best_paths(edges, C.members_of(found), starts).join(found.select("scc_id", "cycle_index"), "scc_id")
@@ -343,14 +345,14 @@ def _impacts(spark, sf_dir):
 SELECT v.node, v.cycle_index, relationship, way[len(way)] AS entry, array_to_string(list_append(COALESCE(x, []), way[len(way)]), ' -> ') AS chain
 FROM v LEFT JOIN shown s ON s.node = v.node AND s.cycle_index = v.cycle_index""", recursive=True)
 def trace_impacts(spark, sf_dir):
-    """Cycles that affect every eleventh part, with the lines of each hop."""
+    """Cycles that affect every eleventh file, with the lines of each hop."""
     return _impacts(spark, sf_dir).select("node", "cycle_index", "relationship", "entry", paths.chain("path", "entry").alias("chain"))
 
 
 @query(TRACE + """SELECT count(DISTINCT CASE WHEN relationship = 'member' THEN node END) AS members,
   count(DISTINCT node) - count(DISTINCT CASE WHEN relationship = 'member' THEN node END) AS reachable_only, count(DISTINCT cycle_index) AS cycles FROM v""", recursive=True)
 def trace_stats(spark, sf_dir):
-    """Of the traced parts, members of a cycle, those that only lead to one, and the cycles concerned."""
+    """Of the traced files, members of a cycle, those that only lead to one, and the cycles concerned."""
     return T.trace_stats(_impacts(spark, sf_dir))
 
 
@@ -362,7 +364,7 @@ def trace_distribution(spark, sf_dir):
 
 @query(TRACE + "SELECT (SELECT count(DISTINCT node) FROM v) AS impacted, count(*) AS total FROM p WHERE part % 11 = 0", recursive=True)
 def trace_summary(spark, sf_dir):
-    """How many of the traced parts any cycle affects."""
+    """How many of the traced files any cycle affects."""
     found = cut(_impacts(spark, sf_dir), "impacts")
     total = D.part_paths(spark, sf_dir).where("part % 11 = 0").agg(F.count("*").alias("total"))
     return found.agg(F.countDistinct("node").alias("impacted")).crossJoin(total)
@@ -378,10 +380,58 @@ def match_path(spark, sf_dir):
     return a.unionByName(b)
 
 
+# == the same beyond what a task may hold
+
+FAR = 500  # edges that a task holds in these: the graph is split into components, or goes round by round
+
+
+@query(CLOSURE + "SELECT node, scc_id FROM s", recursive=True)
+def scc_far(spark, sf_dir):
+    """``scc`` by trimming, weak components by stars, and a search of each."""
+    return strong_components(*graph_of(spark, sf_dir), FAR)
+
+
+@query(CLOSURE + "SELECT node, scc_id FROM s", recursive=True)
+def scc_contracted(spark, sf_dir):
+    """``scc`` where no task can hold even a component: nodes of one edge out or in are passed over, and the rest is coloured."""
+    return strong_components(*graph_of(spark, sf_dir), 60)
+
+
+@query(FORWARD + "SELECT path FROM f", recursive=True)
+def reach_forward_far(spark, sf_dir):
+    """``reach_forward`` in rounds."""
+    seeds = D.part_paths(spark, sf_dir).where(f"part % {SEEDS} = 0").select("path")
+    return A.reachable(edges_of(spark, sf_dir), seeds, FAR)
+
+
+@query(CLOSURE + ", f AS (SELECT node AS path FROM k UNION SELECT d.src FROM f JOIN d ON d.dst = f.path)\nSELECT path FROM f", recursive=True)
+def reach_reverse_far(spark, sf_dir):
+    """``reach_reverse`` in rounds."""
+    _, edges, found = cycles_of(spark, sf_dir)
+    return A.reaching(edges, C.cyclic_files(found), FAR)
+
+
+@query(", f AS (SELECT path FROM p WHERE part % 3 > 0 UNION SELECT d.dst FROM f JOIN d ON d.src = f.path)\nSELECT src, dst FROM d WHERE src IN (SELECT path FROM f) AND dst IN (SELECT path FROM f)", recursive=True)
+def apply_exclusions_far(spark, sf_dir):
+    """``apply_exclusions`` in rounds."""
+    nodes, edges = graph_of(spark, sf_dir)
+    excluded = D.part_paths(spark, sf_dir).where("part % 3 = 0").select("path")
+    return A.apply_exclusions(nodes, edges, excluded, FAR)[1].select("src", "dst")
+
+
+@query(TRACE + "SELECT node AS start, cycle_index, way[len(way)] AS entry, array_to_string(way, ' ') AS path FROM v WHERE relationship = 'reachable'", recursive=True)
+def trace_best_path_far(spark, sf_dir):
+    """``trace_best_path`` in rounds from all starts at once."""
+    _, edges, found = cycles_of(spark, sf_dir)
+    starts = D.part_paths(spark, sf_dir).where("part % 11 = 0").select("path")
+    ways = A.best_paths(edges, C.members_of(found), starts, FAR).join(found.select("scc_id", "cycle_index"), "scc_id")
+    return ways.select("start", "cycle_index", "entry", joined("path", " "))
+
+
 # == a suppressed edge put back
 
-RESTORE = """, n AS (SELECT y.path AS src, x.path AS dst, line FROM e JOIN p x ON e.a = x.part JOIN p y ON e.b = y.part WHERE e.a % 5 = 0 AND x.path <> y.path)
-, u AS (SELECT src, dst FROM d UNION SELECT src, dst FROM n)
+RESTORE = """, n AS (SELECT y.path AS src, x.path AS dst, line FROM e JOIN p x ON e.a = x.part JOIN p y ON e.b = y.part WHERE e.a % 5 = 0 AND e.a // 64 = e.b // 64 AND x.path <> y.path)
+, u AS (SELECT src, dst FROM d WHERE near UNION SELECT src, dst FROM n)
 , r AS (SELECT src, dst FROM u UNION SELECT r.src, u.dst FROM r JOIN u ON r.dst = u.src)
 , l AS (SELECT src, dst, unnest(lines) AS line FROM d UNION SELECT n.src, n.dst, n.line FROM n JOIN r a ON a.src = n.src AND a.dst = n.dst JOIN r b ON b.src = n.dst AND b.dst = n.src)
 SELECT src, dst, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines FROM l GROUP BY src, dst
@@ -390,9 +440,9 @@ SELECT src, dst, array_to_string(list_sort(list(DISTINCT line)), ',') AS lines F
 
 @query(RESTORE, recursive=True)
 def restore_init_edges(spark, sf_dir):
-    """Suppressed edges, here the reverse of those from every fifth part, that close a cycle."""
+    """Suppressed edges, here the reverse of those from every fifth file into its own block, that close a cycle."""
     nodes, edges = graph_of(spark, sf_dir)
-    back = D.part_edges(spark, sf_dir).where("a % 5 = 0")
+    back = D.part_edges(spark, sf_dir).where("a % 5 = 0 and a div 64 = b div 64")
     named = D.part_paths(spark, sf_dir)
     a, b = named.select(F.col("part").alias("a"), F.col("module").alias("ancestor_package")), named.select(F.col("part").alias("b"), F.col("module").alias("source"))
     suppressed = back.join(a, "a").join(b, "b").select("source", "ancestor_package", "line")
@@ -411,13 +461,13 @@ def _index(spark, sf_dir):
 
 
 def _raw(spark, sf_dir, kind: str):
-    """Every edge of the graph as a statement: import brand.pN, from brand import pN, or a string brand.pN.Thing."""
+    """Every edge of the graph as a statement: import brand.pN, from brand import pN, or a string: brand.pN.Thing, brand.pN on even lines."""
     named = D.part_paths(spark, sf_dir)
     a = named.select(F.col("part").alias("a"), F.col("module").alias("source_module"), F.col("path").alias("rel_path"))
     b = named.select(F.col("part").alias("b"), F.col("module").alias("target"))
     rows = D.part_edges(spark, sf_dir).join(a, "a").join(b, "b")
     brand, leaf = F.substring_index("target", ".", 1), F.substring_index("target", ".", -1)
-    name = {"import": F.col("target"), "from": leaf, "string": F.concat("target", F.lit(".Thing"))}[kind]
+    name = {"import": F.col("target"), "from": leaf, "string": F.when(F.col("line") % 2 == 0, F.col("target")).otherwise(F.concat("target", F.lit(".Thing")))}[kind]
     return rows.select(
         "rel_path", "source_module", F.lit(False).alias("is_package"), F.xxhash64("a", "b", "line").cast("string").alias("stmt_ord"), F.lit(kind).alias("kind"),
         F.when(F.lit(kind == "from"), brand).alias("module"),
@@ -467,10 +517,10 @@ def resolve_string_all(spark, sf_dir):
     return R.resolve_strings(_raw(spark, sf_dir, "string"), _index(spark, sf_dir), "all", 0)
 
 
-@query(INDEX + MADE + "SELECT source, target, line FROM st WHERE target || '.Thing' IN (SELECT module FROM ix) OR FALSE")
+@query(INDEX + MADE + "SELECT source, target, line FROM st WHERE line % 2 = 0 AND target IN (SELECT module FROM ix) AND target <> source")
 def resolve_string_callsite(spark, sf_dir):
-    """Strings of call sites resolve exactly, so brand.pN.Thing gives nothing."""
-    return R.resolve_strings(_raw(spark, sf_dir, "string"), _index(spark, sf_dir), "call-sites", 2)
+    """Strings of call sites resolve exactly: brand.pN does, brand.pN.Thing doesn't."""
+    return R.resolve_strings(_raw(spark, sf_dir, "string"), _index(spark, sf_dir), "call-sites", 1)
 
 
 @query(INDEX + MADE + "SELECT DISTINCT source, brand AS target, line FROM st WHERE brand IN (SELECT module FROM ix) AND brand <> source_brand")
@@ -523,11 +573,8 @@ def path_under(spark, sf_dir):
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cycles of a denser graph, numbered."""
-    edges = edges_of(spark, sf_dir, 11, 5)
-    nodes = G.nodes_of(D.files(spark, sf_dir))
-    found = C.by_size(C.cycles_of(strong_components(nodes, edges), edges))
-    return C.ordered(found, ROOTS).select("cycle_index", "size", joined("members"))
+    """Cycles of the whole graph, numbered."""
+    return cycles_of(spark, sf_dir)[2].select("cycle_index", "size", joined("members"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,43 +1,56 @@
-"""A dependency graph out of the order tables: parts are files, an order's consecutive lines are imports."""
+"""A dependency graph out of the order lines, all of them: consecutive lines of an order are imports.
+
+Twelve order keys make a block, whose files are numbered by parts modulo 40: cycles arise inside blocks. The last line
+of an order imports the first one of the next, if that is in another block of the same group of four: ways lead from block
+to block and never back. A file's number is its block times 64, plus its own.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MODULO, LINES = 9, 4
+BLOCK, GROUP, FILES, ROOM = 12, 48, 40, 64
+
+
+def _block() -> Column:
+    return F.expr(f"l_orderkey div {BLOCK}")
 
 
-def part_edges(spark: SparkSession, sf_dir: str, modulo: int = MODULO, lines: int = LINES) -> DataFrame:
-    """(a, b, line): part a stands before part b in an order; the line is a's line number."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where((F.col("l_orderkey") % modulo == 0) & (F.col("l_linenumber") < lines))
-    order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    rows = rows.select(F.col("l_partkey").alias("a"), F.lead("l_partkey").over(order).alias("b"), F.col("l_linenumber").cast("int").alias("line"))
-    return rows.where("b is not null")
+def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(a, b, line): file a imports file b; the line is that of a's order line."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = W.partitionBy(F.expr(f"l_orderkey div {GROUP}")).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    number = _block() * ROOM + F.col("l_partkey") % FILES
+    rows = rows.select(
+        number.alias("a"), F.lead(number).over(order).alias("b"), F.col("l_linenumber").cast("int").alias("line"),
+        F.col("l_orderkey").alias("o"), F.lead("l_orderkey").over(order).alias("next"),
+    )
+    return rows.where(f"b is not null and (o = next or o div {BLOCK} <> next div {BLOCK})").select("a", "b", "line")
 
 
 def part_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(part, path, module): src/<brand>/p<part>.py, brands in lower case with _."""
-    brand = F.lower(F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"))
-    part = F.col("p_partkey").cast("string")
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select(
-        F.col("p_partkey").alias("part"),
-        F.concat(F.lit("src/"), brand, F.lit("/p"), part, F.lit(".py")).alias("path"),
-        F.concat(brand, F.lit(".p"), part).alias("module"),
-    )
+    """(part, path, module): src/<brand>/p<part>.py, a block's files in two brands of 25."""
+    blocks = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(_block().alias("block")).distinct()
+    files = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(FILES - 1))).alias("r"))
+    at = f"(block + r div {FILES // 2}) % 25"
+    brand = F.expr(f"concat('brand_', 1 + ({at}) div 5, 1 + ({at}) % 5)")
+    named = files.select((F.col("block") * ROOM + F.col("r")).alias("part"), brand.alias("brand"))
+    part = F.col("part").cast("string")
+    return named.select("part", F.concat(F.lit("src/"), "brand", F.lit("/p"), part, F.lit(".py")).alias("path"), F.concat("brand", F.lit(".p"), part).alias("module"))
 
 
-def deps(spark: SparkSession, sf_dir: str, modulo: int = MODULO, lines: int = LINES) -> DataFrame:
+def deps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target, line) between modules."""
     named = part_paths(spark, sf_dir)
     a = named.select(F.col("part").alias("a"), F.col("module").alias("source"))
     b = named.select(F.col("part").alias("b"), F.col("module").alias("target"))
-    return part_edges(spark, sf_dir, modulo, lines).join(a, "a").join(b, "b").select("source", "target", "line")
+    return part_edges(spark, sf_dir).join(a, "a").join(b, "b").select("source", "target", "line")
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files as discovery gives them: every part is one, below the root src."""
+    """Files as discovery gives them, below the root src."""
     named = part_paths(spark, sf_dir)
     return named.select(
         F.lit(0).alias("root_ord"), F.lit("src").alias("root"), F.col("part").cast("long").alias("file_ord"), F.col("path").alias("rel_path"),
@@ -45,21 +58,20 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: The same in SQL: tables e (a, b, line), p (part, path, module), d (src, dst, lines text).
-SQL_EDGES = """e AS (
-  SELECT a, b, line FROM (
-    SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b,
-           CAST(l_linenumber AS INTEGER) AS line
-    FROM lineitem WHERE l_orderkey % {modulo} = 0 AND l_linenumber < {lines}) WHERE b IS NOT NULL
+#: The same in SQL: tables e (a, b, line), p (part, brand, path, module), d (src, dst, lines, near: in one block).
+SQL_EDGES = f"""order_lines AS (
+  SELECT l_orderkey AS o, l_orderkey // {BLOCK} * {ROOM} + l_partkey % {FILES} AS a, CAST(l_linenumber AS INTEGER) AS line,
+         lead(l_orderkey // {BLOCK} * {ROOM} + l_partkey % {FILES}) OVER w AS b, lead(l_orderkey) OVER w AS next
+  FROM lineitem WINDOW w AS (PARTITION BY l_orderkey // {GROUP} ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey)
+), e AS (
+  SELECT a, b, line FROM order_lines WHERE b IS NOT NULL AND (o = next OR o // {BLOCK} <> next // {BLOCK})
+), numbered AS (
+  SELECT block * {ROOM} + r AS part, (block + r // {FILES // 2}) % 25 AS nth
+  FROM (SELECT DISTINCT l_orderkey // {BLOCK} AS block FROM lineitem), range({FILES}) AS f(r)
 ), p AS (
-  SELECT p_partkey AS part, lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) AS brand,
-         'src/' || lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) || '/p' || p_partkey || '.py' AS path,
-         lower(regexp_replace(p_brand, '[^A-Za-z0-9]', '_', 'g')) || '.p' || p_partkey AS module FROM part
+  SELECT part, 'brand_' || (1 + nth // 5) || (1 + nth % 5) AS brand, 'src/brand_' || (1 + nth // 5) || (1 + nth % 5) || '/p' || part || '.py' AS path,
+         'brand_' || (1 + nth // 5) || (1 + nth % 5) || '.p' || part AS module FROM numbered
 ), d AS (
-  SELECT x.path AS src, y.path AS dst, list_sort(list(DISTINCT line)) AS lines
+  SELECT x.path AS src, y.path AS dst, list_sort(list(DISTINCT line)) AS lines, any_value(a // {ROOM} = b // {ROOM}) AS near
   FROM e JOIN p x ON e.a = x.part JOIN p y ON e.b = y.part GROUP BY x.path, y.path
 )"""
-
-
-def sql_edges(modulo: int = MODULO, lines: int = LINES) -> str:
-    return SQL_EDGES.format(modulo=modulo, lines=lines)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import re
+from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,27 +174,57 @@ def report_checks(spark, sf_dir):
     return table(spark, rows, "name string, good boolean")
 
 
-@query("page VARCHAR, part VARCHAR, there BOOLEAN", [("report", p, True) for p in ("cards", "package", "code", "trace", "cyclic")] + [("trace", p, True) for p in ("member", "way", "back")])
+class _Text(HTMLParser):
+    """What a page says, piece by piece, with where its links lead."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__()
+        self.said: list[str] = []
+        self._mute = False
+        self.feed(page)
+
+    def handle_starttag(self, tag: str, attrs: list) -> None:
+        self._mute = tag in ("style", "script")
+        self.said += [f"-> {value}" for name, value in attrs if name == "href"]
+
+    def handle_endtag(self, tag: str) -> None:
+        self._mute = False
+
+    def handle_data(self, data: str) -> None:
+        text = re.sub(r"\d{4}-\d\d-\d\d", "", data).strip()
+        if text and not self._mute:
+            self.said.append(text)
+
+
+REPORT_PAGE = [
+    "Import cycles", "Import cycles", "2", "Cycles Reported", "0", "Left Out", "5", "Files in Them", "Cycles by Package", "Package", "Cycles", "lone",
+    "1", "web", "1", "Cycles by Size", "Files", "Cycles", "2", "1", "3", "1", "Cycles", "#", "Packages", "Size", "Files", "1", "lone", "2",
+    "src/lone/x.py (L1)", "src/lone/y.py (L1)", "src/lone/x.py", "L1 → src/lone/y.py", "src/lone/y.py", "L1 → src/lone/x.py", "2", "web", "3",
+    "src/web/a.py (L1)", "src/web/b.py (L2, L3)", "src/web/c.py (L1)", "src/web/a.py", "1", "from web import b  # <b>", "→ src/web/b.py",
+    "src/web/b.py", "L2 → src/web/a.py", "L3 → src/web/c.py", "src/web/c.py", "L1 → src/web/b.py", "Files in Cycles", "5 files", "src/lone/x.py",
+    "src/lone/y.py", "src/web/a.py", "src/web/b.py", "src/web/c.py", "Traced Paths", "Traced", "File or directory", "Result",
+    "-> r_trace_src_web.html", "src/web/", "directory", "4 of 6 files impacted",
+]
+TRACE_PAGE = [
+    "src/web/", "src/web/", "-> r.html", "all cycles", "1", "Cycles", "4", "Impacted", "6", "Scanned", "3", "In cycle", "1", "Leads to a cycle",
+    "src/web/a.py", "cycle 2: member", "src/web/b.py", "cycle 2: member", "src/web/c.py", "cycle 2: member", "src/web/main.py",
+    "cycle 2: reachable via src/web/main.py:1 → src/web/a.py",
+]
+
+
+@query("page VARCHAR, n INTEGER, said VARCHAR", [(page, n, said) for page, every in (("report", REPORT_PAGE), ("trace", TRACE_PAGE)) for n, said in enumerate(every, 1)])
 def html_pages(spark, sf_dir):
-    """Parts of the HTML pages: numbers, packages, import lines, links, ways."""
+    """All that the HTML pages say, in order, and their links; the date is left out."""
     a = project(spark)
     traced, unknown, _ = traces(a, ["src/web"])
     cyclic = sorted(r["path"] for r in a.cyclic_files().collect())
     frame, loaded = reports.parse(spark, reports.show(reports.json_report(a, traced, unknown, cyclic)))
     stats = {k: v.collect() for k, v in reports.statistics(frame).items()}
-    page = html.report_page(loaded, stats, "r", {(A, 1): "from web import b  # <b>"})
-    sub = html.trace_html(loaded["traced"][0], "r.html", {1: 2, 2: 3})
-    found = {
-        ("report", "cards"): '<div class="card"><b>2</b>Cycles Detected</div>' in page and "<b>5</b>Files Involved" in page,
-        ("report", "package"): '<tr><td>web</td><td>1</td><td><div class="bar" style="width: 100.0%">' in page,
-        ("report", "code"): f"1 <code>from web import b  # &lt;b&gt;</code> &rarr; {B}" in page,
-        ("report", "trace"): '<a href="r_trace_src_web.html">src/web/</a>' in page and "4 of 6 files impacted" in page,
-        ("report", "cyclic"): f'<li class="file" data-key="{Q}">' in page,
-        ("trace", "member"): "cycle 2: member" in sub,
-        ("trace", "way"): f"reachable via src/web/main.py:1 &rarr; {A}" in sub,
-        ("trace", "back"): '<a href="r.html">' in sub,
+    made = {
+        "report": html.report_page(loaded, stats, "r", {(A, 1): "from web import b  # <b>"}),
+        "trace": html.trace_html(loaded["traced"][0], "r.html", {1: 2, 2: 3}),
     }
-    return table(spark, [(*k, bool(v)) for k, v in found.items()], "page string, part string, there boolean")
+    return table(spark, [(page, n, said) for page, text in made.items() for n, said in enumerate(_Text(text).said, 1)], "page string, n int, said string")
 
 
 @query("gate VARCHAR, code INTEGER", [("strict", 1), ("strict, package", 1), ("budget 1", 1), ("budget 2", 0), ("baseline same", 0), ("baseline other", 1)])

@@ -52,7 +52,7 @@ def _detail(cycle: dict, code: dict[tuple[str, int], str]) -> list[str]:
 
 
 def _cycle_table(cycles: list[dict], code: dict[tuple[str, int], str]) -> list[str]:
-    out = ['<h2 id="all-cycles">All Cycles</h2><input class="search" data-rows="tr.cycle" placeholder="package">']
+    out = ['<h2 id="cycles">Cycles</h2><input class="search" data-rows="tr.cycle" placeholder="package">']
     out.append('<table class="sortable"><thead><tr><th>#</th><th>Packages</th><th>Size</th><th>Files</th></tr></thead><tbody>')
     for c in cycles:
         names = c["packages"] or ["(root-level)"]
@@ -74,17 +74,17 @@ def report_page(report: dict, stats: dict[str, list], stem: str, code: dict[tupl
     """stats: rows of totals, packages and sizes. code: text of import lines by (path, line)."""
     files = stats["totals"][0]["files"]
     summary = report["summary"]
-    cards = [(summary["cycles_reported"], "Cycles Detected"), (summary["cycles_suppressed"], "Cycles Suppressed"), (files, "Files Involved")]
+    cards = [(summary["cycles_reported"], "Cycles Reported"), (summary["cycles_suppressed"], "Left Out"), (files, "Files in Them")]
     body = [f"<h1>Import cycles</h1><p>{date.today():%Y-%m-%d}</p>", '<div class="cards" id="summary">']
     body += [f'<div class="card"><b>{n}</b>{label}</div>' for n, label in cards] + ["</div>"]
-    body += _bars("pkg-freq", "Package Frequency", "Package", [(r["package"], r["cycles"]) for r in stats["packages"]])
-    body += _bars("size-dist", "Cycle Size Distribution", "Files", [(r["size"], r["cycles"]) for r in stats["sizes"]])
+    body += _bars("by-package", "Cycles by Package", "Package", [(r["package"], r["cycles"]) for r in stats["packages"]])
+    body += _bars("by-size", "Cycles by Size", "Files", [(r["size"], r["cycles"]) for r in stats["sizes"]])
     body += _cycle_table(report["cycles"], code)
     if cyclic := report.get("cyclic_files"):
-        body.append(f'<h2 id="cyclic-files">Known Cyclic Files</h2><p>{plural(len(cyclic), "file")}</p><input class="search" data-rows="li.file" placeholder="file"><ul>')
+        body.append(f'<h2 id="cyclic-files">Files in Cycles</h2><p>{plural(len(cyclic), "file")}</p><input class="search" data-rows="li.file" placeholder="file"><ul>')
         body += [f'<li class="file" data-key="{esc(f)}">{esc(f)}</li>' for f in cyclic] + ["</ul>"]
     if traced := report.get("traced"):
-        body.append('<h2 id="cycle-impact">Cycle Impact</h2><table><tr><th>Traced</th><th>File or directory</th><th>Result</th></tr>')
+        body.append('<h2 id="traces">Traced Paths</h2><table><tr><th>Traced</th><th>File or directory</th><th>Result</th></tr>')
         body += [f'<tr><td><a href="{trace_page(stem, i, t["path"])}">{esc(t["path"])}</a></td><td>{esc(t["kind"])}</td><td>{_impact(t)}</td></tr>' for i, t in enumerate(traced)]
         body.append("</table>")
     return _page("Import cycles", body)
@@ -101,13 +101,13 @@ def trace_html(trace: dict, report_name: str, sizes: dict[int, int]) -> str:
         cards = [(len(cycles), "Cycles"), (len(hit), "Impacted")]
         cards += [(len(files), "Scanned")] if trace["kind"] == "directory" else []
         cards += [(len(member), "In cycle")] if member else []
-        cards += [(len(hit) - len(member), "Leads into cycle")] if len(hit) > len(member) else []
+        cards += [(len(hit) - len(member), "Leads to a cycle")] if len(hit) > len(member) else []
         body += ['<div class="cards">', *(f'<div class="card"><b>{n}</b>{label}</div>' for n, label in cards), "</div>"]
     shown = hit if trace["kind"] == "directory" else files
     if not shown:
         return _page(trace["path"], [*body, "<p>No cycles impact this path.</p>"])
     if len(cycles) > 1:
-        body.append('<table class="sortable"><thead><tr><th>Cycle</th><th>Size</th><th>In cycle</th><th>Leads into cycle</th><th>Total</th></tr></thead><tbody>')
+        body.append('<table class="sortable"><thead><tr><th>Cycle</th><th>Size</th><th>In cycle</th><th>Leads to a cycle</th><th>Total</th></tr></thead><tbody>')
         for c in cycles:
             kinds = [{x["relationship"] for x in f["impacts"] if x["cycle_index"] == c} for f in hit]
             inside = sum("member" in k for k in kinds)

@@ -15,9 +15,16 @@ IGNORE_DIRS = {
     "src/web/protos/x.py": "from web.protos import y\n", "src/web/protos/y.py": "from web.protos import x\n",
     "src/web/foo.py": "from web.protos import z\n", "src/web/protos/z.py": "from web import foo\n",
 }
+#: A loop of five files that only an edge to a package on the way closes.
 MIXED = {
-    "src/provider/__init__.py": "from provider import tree_user\n", "src/provider/tree_user.py": "import tree.contract\n",
-    "src/tree/__init__.py": "", "src/tree/contract.py": "import provider.base\n", "src/provider/base.py": "",
+    "src/shop/__init__.py": "from .maker import Maker\n", "src/shop/maker.py": "from .stock import Source\n",
+    "src/shop/stock/__init__.py": "from .source import Source\n", "src/shop/stock/source.py": "from yard.deal import Deal\n",
+    "src/shop/stock/parts/base.py": "class Part:\n    pass\n", "src/yard/deal.py": "from shop.stock.parts.base import Part\n",
+}
+STRINGS = {
+    "src/our/kit/a.py": "from . import b\n", "src/our/kit/b.py": 'import importlib\nX = importlib.import_module("our.kit.a")\nY = "no.such.name"\n',
+    "src/our/kit/c.py": 'import importlib\nA = importlib.import_module("our.kit.d")\nB = "our.kit.b"\nC = importlib.import_module("our.kit.c")\nD = f"{importlib.import_module(\'our.kit.e\')}"\n',
+    "src/our/kit/d.py": 'import importlib\ndef late():\n    return importlib.import_module("our.kit.c")\n', "src/our/kit/e.py": "",
 }
 
 

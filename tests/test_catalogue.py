@@ -7,7 +7,7 @@ from knotwork.plans import catalogue, golden
 DATA = "/root/testdata/sf0.001"
 #: One of each kind; the driver compares all of them.
 SHOWN = ["graph_edges", "graph_collisions", "graph_intern", "scc", "cycles_ordered", "apply_exclusions", "trace_impacts", "restore_init_edges", "resolve_from", "resolve_string_all",
-         "ancestor_edges", "check_diff", *golden.QUERIES]
+         "ancestor_edges", "check_diff", "scc_far", "reach_forward_far", "trace_best_path_far", "resolve_string_callsite", "suppressed_count", *golden.QUERIES]
 
 
 def rows(names, values):

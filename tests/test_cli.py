@@ -170,3 +170,61 @@ def test_html(go, tmp_path):
     assert "reachable via" in (tmp_path / "page_trace_src_web.html").read_text()
     (tmp_path / "r.json").write_text(out.replace('"cycles_reported": 1', '"cycles_reported": 2'))
     assert go(P.BRANCH, "report", str(tmp_path / "r.json"))[0] == 1
+
+
+def test_a_loop_closed_by_a_package_on_the_way(go):
+    five = ["src/shop/__init__.py", "src/shop/maker.py", "src/shop/stock/__init__.py", "src/shop/stock/source.py", "src/yard/deal.py"]
+    config = 'source-roots = ["src"]\n[cycles]\nignore-derived-ancestor-init = true\n'
+    dump = json.loads(go(P.MIXED, *JSON, "--dump-cyclic-files", config=config)[1])
+    assert dump["ignore_derived_ancestor_init"] and dump["cyclic_files"] == five  # no direct loop is left, so all of it stays
+    assert cycles(go(P.MIXED, *JSON, config=config)[1]) == [five]
+
+
+def test_local_imports(go):
+    files = {"src/kit/a.py": "from . import b\n", "src/kit/b.py": "def late():\n    from . import a\n    return a\n"}
+    assert cycles(go(files, *JSON)[1]) == []
+    assert cycles(go(files, *JSON, "--local-imports")[1]) == [["src/kit/a.py", "src/kit/b.py"]]
+
+
+def test_string_imports(go):
+    one, two = (["src/our/kit/a.py", "src/our/kit/b.py"], ["src/our/kit/c.py", "src/our/kit/d.py"])
+    least = 'source-roots = ["src"]\n[cycles]\nmin-scc-size = 1\n'
+    every = 'source-roots = ["src"]\n[parse]\nstring-imports-mode = "all"\n'
+    found = lambda config, *flags: cycles(go(P.STRINGS, *JSON, *flags, config=config)[1])
+    assert found(least) == found(least, "--local-imports") == []
+    assert found(least, "--include-string-imports") == [one]  # c names itself, which is no cycle
+    assert found(least, "--include-string-imports", "--local-imports") == [one, two]
+    assert found(every, "--include-string-imports") == [one]
+    assert found(every + "string-imports-min-dots = 3\n", "--include-string-imports") == []
+    for config, there in ((least, False), (every, True)):
+        assert ("    string  (our.kit.b)" in go(P.STRINGS, "-v", "--include-string-imports", config=config)[1].replace("string (", "string  (")) == there
+
+
+def test_strings_of_no_module_are_dropped(go):
+    files = {"src/kit/x.py": 'import importlib\nX = importlib.import_module("no.such.module")\n'}
+    code, out, _ = go(files, "-v", "--include-string-imports", "--strict")
+    assert code == 0 and "no.such.module" not in out.split("--- unresolved imports")[1].split("---")[1]
+
+
+def test_relative_import_in_a_package_file(go):
+    files = {"src/svc/__init__.py": "from .staff import load\n", "src/svc/staff.py": "from user import go\n", "src/user.py": "from svc import load\n"}
+    assert cycles(go(files, *JSON)[1]) == [["src/svc/__init__.py", "src/svc/staff.py", "src/user.py"]]
+
+
+def test_an_excluded_file_keeps_its_own_loop(go):
+    files = {"src/kit/a.py": "from . import s\n", "src/kit/s.py": "from . import s\n"}
+    config = 'source-roots = ["src"]\n[cycles]\nmin-scc-size = 1\n'
+    assert cycles(go(files, *JSON, "--exclude", "src/kit/s.py", config=config)[1]) == [["src/kit/s.py"]]
+
+
+def test_json_is_the_same_every_time(go):
+    first, again = (go(P.MULTI | P.STRINGS, *JSON, "-t", "src/auth/", "--include-string-imports")[1] for _ in range(2))
+    assert first == again and len(cycles(first)) == 3
+
+
+def test_sources_from_a_table(go, spark, tmp_path):
+    from knotwork.sources.python_tree import SOURCES
+
+    rows = [(0, "src", i, path, path[4:], text, None) for i, (path, text) in enumerate(sorted(P.MULTI.items()))]
+    spark.createDataFrame(rows, SOURCES).write.parquet(str(tmp_path / "table"))
+    assert cycles(go({}, *JSON, "--sources", str(tmp_path / "table"))[1]) == cycles(go(P.MULTI, *JSON)[1])

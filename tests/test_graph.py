@@ -10,7 +10,7 @@ from knotwork.operators import graph as G
 from knotwork.operators import reach as A
 from knotwork.operators import trace as T
 from knotwork.operators.components import connected_components
-from knotwork.operators.scc import strong_components, tarjan
+from knotwork.operators.scc import large_components, strong_components, tarjan
 
 
 def frames(spark, edges, nodes=(), lines=None):
@@ -67,6 +67,19 @@ def test_ring_of_100000():
     assert len(set(tarjan(range(n), [*range(1, n), 0]).values())) == 1
 
 
+def test_rings_and_chains_end_in_few_rounds(spark):
+    """Components of thousands of edges where a task may hold a few dozen: chains are contracted, not walked."""
+    ring = [(i, (i + 1) % 3000) for i in range(3000)]
+    tail = [(2999 + i, 3000 + i) for i in range(1, 500)] + [(17, 3000)]  # leads out of the ring and never back
+    knot = [(5000 + i, 5000 + (i * 7 + 1) % 90) for i in range(90)] + [(5000 + i, 5000 + (i + 1) % 90) for i in range(90)] + [(40, 5000)]
+    edges = [*ring, *tail, *knot, (6000, 6001), (6001, 6000), (6001, 6001)]
+    want = tarjan(*zip(*edges))
+    found = {r["node"]: r["root"] for r in large_components(spark.createDataFrame(edges, "u long, v long"), 60).collect()}
+    assert len([*found]) == len(set(found))
+    groups = lambda root: {frozenset(n for n in want if root.get(n, n) == k) for k in {root.get(n, n) for n in want}}
+    assert groups(found) == groups(want) and max(map(len, groups(want))) == 3000
+
+
 def test_weak_components_of_a_long_path(spark):
     rows = [(i, i + 1) for i in range(500)] + [(1000, 1001), (1002, 1002), (None, 5)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(rows, "u long, v long")).collect()}
@@ -104,6 +117,16 @@ def test_best_way_ties(spark):
         assert row["entry"] == "z_entry.py" and [h["from"] for h in row["path"]] == ["start.py", "a.py"] and row["from_lines"] == [1]
 
 
+def test_best_ways_alike_at_every_size(spark):
+    rng = random.Random(11)
+    names = [f"p{i % 4}/m{i}.py" for i in range(40)]
+    edges = sorted({(names[a], names[b]) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(70))})
+    nodes, e = frames(spark, edges, names)
+    cyclic = C.members_of(C.by_size(C.cycles_of(strong_components(nodes, e), e)))
+    one, rounds = (sorted(map(tuple, A.best_paths(e, cyclic, nodes, k).collect())) for k in (10**6, 1))
+    assert one == rounds and len(one) > 10 and max(len(r[3]) for r in one) > 3
+
+
 def test_exclusions_keep_what_is_imported(spark):
     nodes, e = frames(spark, [("a.py", "s.py"), ("s.py", "s.py"), ("x.py", "y.py"), ("y.py", "x.py")])
     kept, inner = A.apply_exclusions(nodes, e, nodes.where("path in ('s.py', 'x.py', 'y.py')"))
