@@ -200,8 +200,26 @@ def label_type(states: int) -> np.dtype:
     return np.min_scalar_type(-max(states, 2))
 
 
+FEW = 24  # values of a step below which arrays cost more than they spare
+
+
+def _step_by_step(value: list[float], scores: list[list[float]], switch: float) -> tuple[list[list[int]], list[float]]:
+    """(where each label of each word came from, the last word's values) of one row, from its values so far."""
+    came = []
+    states = range(len(value))
+    for word in scores:
+        best = max(value)
+        top, at = best - switch, value.index(best)
+        came.append([at if value[k] < top else k for k in states])
+        value = [(top if x < top else x) + y for x, y in zip(value, word)]
+    return came, value
+
+
 def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
-    """The best label of every word of every row; row i has words at[i]:at[i + 1]."""
+    """The best label of every word of every row; row i has words at[i]:at[i + 1].
+
+    The steps of all rows run side by side; when only a few long rows are left, each is finished on its own.
+    """
     n = np.diff(at)
     order = np.argsort(-n, kind="stable")
     n, first = n[order], at[:-1][order]
@@ -215,11 +233,15 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     active = np.searchsorted(-n, -np.arange(1, n[0] + 1), side="right")  # rows longer than t
     value = scores[first[: active[0]]].astype(np.float64)
     final = np.zeros((len(n), states))
+    together = int(n[0])  # words of a row that are taken side by side with others
     for t in range(1, int(n[0])):
         live = active[t]
         if live < len(value):
             final[live : len(value)] = value[live:]
             value = value[:live]
+        if live * states <= FEW:
+            together = t
+            break
         word = first[:live] + t
         best = value.argmax(axis=1)
         top = value[np.arange(live), best] - switch
@@ -227,8 +249,20 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
         back[word] = np.where(move, best[:, None].astype(small), own)
         value = np.where(move, top[:, None], value) + scores[word]
     final[: len(value)] = value
-    state = final.argmax(axis=1).astype(small)
-    for t in range(int(n[0]) - 1, -1, -1):
+    state = np.zeros(len(n), small)
+    for row in range(int(active[together]) if together < n[0] else 0):
+        begin, stop = int(first[row]) + together, int(first[row] + n[row])
+        came, last = _step_by_step(final[row].tolist(), scores[begin:stop].astype(np.float64).tolist(), switch)
+        now = last.index(max(last))
+        own_labels = []
+        for step in reversed(came):
+            own_labels.append(now)
+            now = step[now]
+        label[begin:stop] = own_labels[::-1]
+        state[row] = now
+    done = int(active[together]) if together < n[0] else 0
+    state[done:] = final[done:].argmax(axis=1)
+    for t in range(together - 1, -1, -1):
         live = active[t]
         word = first[:live] + t
         label[word] = state[:live]
