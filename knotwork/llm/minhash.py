@@ -1,6 +1,6 @@
 """Near-duplicate documents: universal hash minima, banding, verification by signature, components by stars.
 
-Scale: one pass over the texts makes 160 minima a document (one byte each is kept) and 32 band hashes. Documents of one
+Scale: one pass over the texts makes 160 minima a document (one byte each is kept) and 40 band hashes. Documents of one
 signature are one node from then on, so that copies, however many, cost one node. Buckets of equal band hash are found
 by an aggregation over (hash, node) pairs, and a bucket that several bands repeat is examined once. Inside a bucket a
 search over the not yet reached members finds the components of "agreement at or above the threshold" without listing
@@ -34,8 +34,8 @@ class MinHashParams:
     comparisons, block: what one task holds of a bucket, compares in it, and holds of it if that is not enough."""
 
     shingle: int = 3
-    bands: int = 32
-    rows: int = 5
+    bands: int = 40  # a pair at the threshold shares a band with probability 0.92, beyond it sooner
+    rows: int = 4
     threshold: float = 0.5
     seed: int = 20240611
     bucket_rows: int = 1 << 17

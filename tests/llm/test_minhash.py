@@ -127,3 +127,21 @@ def test_one_of_equal_rows_stays(make, prose):
     rows = [(1, prose(1)), (1, prose(1), "fr"), (2, prose(1) + " more"), (3, prose(2)), (3, prose(2)), (4, ""), (4, "")]
     kept = M.drop_near_duplicates(make(rows, clash=True))
     assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, prose(1)), (3, prose(2)), (4, ""), (4, "")]
+
+
+def test_recall_at_the_threshold_against_all_pairs(make, prose):
+    """Pairs of documents that agree in little more than half of their minima, against a comparison of all signatures."""
+    p = M.MinHashParams()
+    rows = [(i, prose(2000 + i, 200)) for i in range(220)]
+    rows += [(1000 + i, edited(text, i, 0.09 + 0.04 * (i % 10) / 10)) for i, text in rows]
+    docs = make(rows)
+    sigs = {r["doc_id"]: np.frombuffer(r["sig"], np.uint8) for r in M.signatures(docs, p).collect()}
+    ids = sorted(sigs)
+    x = np.stack([sigs[i] for i in ids])
+    agree = (x[:, None] == x[None]).sum(axis=2) / 160
+    a, b = np.nonzero(np.triu(agree >= (p.threshold * 255 + 1) / 256, 1))
+    near = agree[a, b]
+    found = {r["doc_id"]: r["group_id"] for r in M.near_duplicates(docs, p).collect()}
+    hit = np.array([found.get(ids[i]) is not None and found.get(ids[i]) == found.get(ids[j]) for i, j in zip(a, b)])
+    assert len(a) > 100 and np.quantile(near, 0.8) < 0.65 and hit.mean() >= 0.9
+    assert set(found) <= {ids[k] for k in np.concatenate([a, b])}
