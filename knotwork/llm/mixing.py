@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knotwork.llm._text import MASK, batches, buffers, by_keys
+from knotwork.llm._text import MASK, batches, buffers, by_keys, slices
 from knotwork.operators.lineage import cut
 
 BLOCKS = (
@@ -68,8 +68,15 @@ def token_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begin)
 
 
-def _counter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about two megabytes of text, as tokens are found in arrays that take several times that."""
     for batch in batches(parts):
+        for i, j in slices(batch["text"], 2 << 20):
+            yield batch.slice(i, j - i)
+
+
+def _counter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _pieces(parts):
         at, raw = buffers(batch["text"])
         starts = token_starts(raw, at)
         n = np.diff(np.searchsorted(starts, at))
@@ -205,7 +212,7 @@ def _packer(length: int):
             out.clear()
             return made
 
-        for batch in batches(parts):
+        for batch in _pieces(parts):
             names, bucket, kind = batch["source"].to_pylist(), batch["bucket"].to_pylist(), batch["kind"].to_pylist()
             index, shard, slot = batch["index"].to_pylist(), batch["shard"].to_pylist(), batch["slot"].to_pylist()
             ids, langs = batch["doc_id"].to_pylist(), batch["lang"].to_pylist()
