@@ -201,6 +201,7 @@ def label_type(states: int) -> np.dtype:
 
 
 FEW = 24  # values of a step below which arrays cost more than they spare
+PIECE = 4096  # words of a long row that are plain numbers at once
 
 
 def _step_by_step(value: list[float], scores: list[list[float]], switch: float) -> tuple[list[list[int]], list[float]]:
@@ -251,14 +252,18 @@ def viterbi(scores: np.ndarray, at: np.ndarray, switch: float) -> np.ndarray:
     final[: len(value)] = value
     state = np.zeros(len(n), small)
     for row in range(int(active[together]) if together < n[0] else 0):
-        begin, stop = int(first[row]) + together, int(first[row] + n[row])
-        came, last = _step_by_step(final[row].tolist(), scores[begin:stop].astype(np.float64).tolist(), switch)
-        now = last.index(max(last))
-        own_labels = []
-        for step in reversed(came):
-            own_labels.append(now)
-            now = step[now]
-        label[begin:stop] = own_labels[::-1]
+        begins = range(int(first[row]) + together, int(first[row] + n[row]), PIECE)
+        stop, now_value = int(first[row] + n[row]), final[row].tolist()
+        for i in begins:
+            part = slice(i, min(i + PIECE, stop))
+            back[part], now_value = _step_by_step(now_value, scores[part].astype(np.float64).tolist(), switch)
+        now = now_value.index(max(now_value))
+        for i in reversed(begins):
+            part, found = slice(i, min(i + PIECE, stop)), []
+            for step in reversed(back[part].tolist()):
+                found.append(now)
+                now = step[now]
+            label[part] = found[::-1]
         state[row] = now
     done = int(active[together]) if together < n[0] else 0
     state[done:] = final[done:].argmax(axis=1)
