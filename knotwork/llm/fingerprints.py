@@ -5,7 +5,9 @@ one class from the start, so that copies cost nothing more. A chunk that stands
 gone after that; what share of a class the others make up bounds its containment, and classes below the threshold are gone
 before any pair is formed. Of the rest, only the rarest chunks seek candidates: a class that has none of the chunks making
 up more than 1 - threshold of another's length can't contain it. That is exact, and spares chunks that stand everywhere.
-The result lists pairs of classes, not of documents; n classes that contain each other are n * (n - 1) of them.
+What the shorter of two classes shares is the larger part of it, so only the shorter seeks, and two classes are one row however
+they contain each other. ``links`` lists pairs of classes, and the class of each document; n classes that contain each
+other are n * (n - 1) / 2 of them.
 """
 
 from __future__ import annotations
@@ -189,7 +191,8 @@ def _seeker(p: ChunkParams):
             shareable = upto[begin + many] - upto[begin]
             # chunks of one class only come first in the order of rarity: they are what is missing from shareable
             before = upto[:-1] - upto[begin][row] + (total - shareable)[row]
-            seek = (before <= (1 - p.threshold) * total[row]) & (shareable >= p.threshold * total)[row]
+            least = np.ceil(p.threshold * total).astype(np.int64)  # in whole bytes, as 1 - 0.8 is less than 0.2
+            seek = (before <= (total - least)[row]) & (shareable >= least)[row]
             ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -204,35 +207,71 @@ def _seeker(p: ChunkParams):
     return run
 
 
-def class_containment(held: DataFrame, classes: DataFrame, p: ChunkParams) -> DataFrame:
-    """(class, container, total, shared) of classes whose chunks another class holds to ``threshold`` of their length.
+def class_links(held: DataFrame, classes: DataFrame, p: ChunkParams) -> DataFrame:
+    """(class, container, total, outer, shared) of each two classes, the longer of which holds ``threshold`` of the shorter.
+    class is the one of less length (total), container that of more (outer), of equal ones the lesser and the greater name.
     held: (class, chunk, df) of chunks that two classes or more hold, each row once; classes: (class, total)."""
     # two classes have no other chunks in common than these
     common = held.groupBy("class").agg(F.collect_list(F.struct("chunk", "df")).alias("items")).join(classes, "class")
     sought = cut(common.select("class", "total", "items").mapInArrow(_seeker(p), SEEKERS), "chunks")
-    seekers = sought.select("class", F.explode("seek").alias("chunk"))
-    holders = sought.select(F.col("class").alias("container"), F.explode("chunks").alias("chunk"))
-    pairs = seekers.join(holders, "chunk").where("class <> container").select("class", "container").distinct()
+    longer = sought.select(F.col("class").alias("container"), F.col("total").alias("outer"), F.col("chunks").alias("b"))
+    seekers = sought.select("class", "total", F.explode("seek").alias("chunk"))
+    holders = longer.select("container", "outer", F.explode("b").alias("chunk"))
+    ordered = "total < outer or total = outer and class < container"
+    pairs = seekers.join(holders, "chunk").where(ordered).select("class", "container").distinct()
     a = sought.where("size(seek) > 0").select("class", "total", F.col("chunks").alias("a"))
-    b = sought.select(F.col("class").alias("container"), F.col("chunks").alias("b"))
     both = F.aggregate(F.array_intersect("a", "b"), F.lit(0).cast("long"), lambda acc, x: acc + x.bitwiseAND(0xFFFF))
-    met = pairs.join(a, "class").join(b, "container").select("class", "container", "total", both.alias("shared"))
+    met = pairs.join(a, "class").join(longer, "container").select("class", "container", "total", "outer", both.alias("shared"))
     return met.where(F.col("shared") >= p.threshold * F.col("total"))
 
 
-def containment(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
-    """(doc_id, container_id, containment, shared_bytes, total_bytes): which documents hold ``threshold`` of a document.
-
-    A document is its set of chunks, each weighted by its length in UTF-8; containment is the share of that length which
-    the container holds too. Rows of equal sets are one class, named by its least doc_id (nulls last): containers are
-    named so, and each other row of a class has its class's name as a container, with containment 1. Null and empty
-    texts contain nothing and are in nothing; rows of one id and set count once. Other columns are ignored.
-    """
+def _classes(docs: DataFrame, p: ChunkParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, class, total) of each document, (class, name, total) of each class, and the links of classes."""
     check(p)
     made = cut(postings(docs, p), "postings")
     members = made.where("chunk is null").select("doc_id", "class", "total")
     names = cut(members.groupBy("class").agg(F.min("doc_id").alias("name"), F.first("total").alias("total")), "classes")
-    found = class_containment(made.where("chunk is not null").select("class", "chunk", "df"), names.select("class", "total"), p)
+    return members, names, class_links(made.where("chunk is not null").select("class", "chunk", "df"), names.select("class", "total"), p)
+
+
+def links(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
+    """(doc_id, class_id, container_id, container_class_id, containment, shared_bytes, total_bytes, container_bytes): the class of
+    each document, and which classes hold ``threshold`` of another.
+
+    A document is its set of chunks, each weighted by its length in UTF-8; rows of equal sets are one class, its id a hash
+    of the set. Each document has one row without a container; rows of one id and set count once. Each two classes, the longer
+    of which holds ``threshold`` of the shorter, have one row more: doc_id and class_id are of the shorter (of equal
+    ones, of the lesser class_id), container_id and container_class_id of the longer, both ids the least doc_id of the class (null
+    if it has no other), and containment is shared_bytes of total_bytes. The shorter holds ``threshold`` of the longer too
+    if shared_bytes is as much of container_bytes. Null and empty texts have no class. Other columns are ignored.
+    """
+    members, names, found = _classes(docs, p)
+    none = F.lit(None)
+    own = members.select(
+        "doc_id", F.col("class").alias("class_id"), none.cast("long").alias("container_id"), none.cast("long").alias("container_class_id"),
+        none.cast("double").alias("containment"), none.cast("long").alias("shared_bytes"), F.col("total").alias("total_bytes"), none.cast("long").alias("container_bytes"),
+    )
+    inner = names.select("class", F.col("name").alias("doc_id"))
+    outer = names.select(F.col("class").alias("container"), F.col("name").alias("container_id"))
+    pairs = found.join(inner, "class").join(outer, "container").select(
+        "doc_id", F.col("class").alias("class_id"), "container_id", F.col("container").alias("container_class_id"), (F.col("shared") / F.col("total")).alias("containment"),
+        F.col("shared").alias("shared_bytes"), F.col("total").alias("total_bytes"), F.col("outer").alias("container_bytes"),
+    )
+    return own.unionByName(pairs)
+
+
+def containment(docs: DataFrame, p: ChunkParams = ChunkParams()) -> DataFrame:
+    """(doc_id, container_id, containment, shared_bytes, total_bytes): which documents hold ``threshold`` of a document.
+
+    ``links`` written out for each document: rows of equal sets are one class, named by its least doc_id (nulls last): containers
+    are named so, and each other row of a class has its class's name as a container, with containment 1. Null and empty
+    texts contain nothing and are in nothing; rows of one id and set count once. Other columns are ignored. n copies
+    of a class in m others are n * m rows.
+    """
+    members, names, found = _classes(docs, p)
+    found = cut(found, "links")
+    back = found.where(F.col("shared") >= p.threshold * F.col("outer")).select(F.col("container").alias("class"), F.col("class").alias("container"), "shared")
+    found = found.select("class", "container", "shared").unionByName(back)
     outer = found.join(names.select(F.col("class").alias("container"), F.col("name").alias("container_id")), "container").select("class", "container_id", "shared")
     several = members.join(names.select("class", "name"), "class").where(~F.col("doc_id").eqNullSafe(F.col("name"))).select(
         "doc_id", F.col("name").alias("container_id"), F.lit(1.0).alias("containment"), F.col("total").alias("shared_bytes"), F.col("total").alias("total_bytes")

@@ -42,8 +42,8 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which of ``documents`` hold four fifths of another."""
-    return fingerprints.containment(read(spark, sf_dir, "documents"), fingerprints.FINE)
+    """Classes of ``documents`` with equal chunks, and which of them hold four fifths of another."""
+    return fingerprints.links(read(spark, sf_dir, "documents"), fingerprints.FINE)
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,6 @@
+import itertools
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 
@@ -101,7 +104,9 @@ def test_query_finds_an_embedded_document(spark, make, prose, tmp_path):
 
     text = prose(1, 190)
     make([(1, text), (2, prose(2, 200) + " " + text + " " + prose(3, 200)), (3, edited(text, 4))]).write.parquet(str(tmp_path / "documents.parquet"))
-    found = {(r["doc_id"], r["container_id"]) for r in op7_fingerprints(spark, str(tmp_path)).collect()}
+    rows = [r for r in op7_fingerprints(spark, str(tmp_path)).collect() if r["container_class_id"] is not None]
+    found = {(r["doc_id"], r["container_id"]) for r in rows}
+    found |= {(r["container_id"], r["doc_id"]) for r in rows if r["shared_bytes"] >= 0.8 * r["container_bytes"]}
     assert {(1, 2), (1, 3), (3, 1)} <= found
 
 
@@ -156,3 +161,75 @@ def test_fine_containment_of_hot_chunks_matches_brute_force(make, prose):
     want = {(i, least[s], 1.0) for i, s in own if least[s] != i}
     want |= {(i, least[o], weight(s & o) / weight(s)) for i, s in own for o in names if o != s and weight(s & o) >= 0.8 * weight(s)}
     assert got == want and len(want) > 200
+
+
+def plain_links(rows, p):
+    """(ids of each class, {the ids of two classes: bytes shared, of the shorter, of the longer}) by comparing all with all."""
+    classes, weight = {}, lambda s: sum(x & 0xFFFF for x in s)
+    for (i, _), s in zip(rows, sets([t or "" for _, t in rows], p)):
+        if s:
+            classes.setdefault(frozenset(s), set()).add(i)
+    found = {}
+    for a, b in itertools.combinations(classes, 2):
+        less, more = sorted([weight(a), weight(b)])
+        if weight(a & b) >= p.threshold * less:
+            found[frozenset([frozenset(classes[a]), frozenset(classes[b])])] = (weight(a & b), less, more)
+    return sorted(map(sorted, classes.values())), found
+
+
+def read_links(rows):
+    """The same of the query's rows, of which no two may be alike."""
+    own, links = [r for r in rows if r["container_class_id"] is None], [r for r in rows if r["container_class_id"] is not None]
+    classes = {}
+    for r in own:
+        classes.setdefault(r["class_id"], set()).add(r["doc_id"])
+    assert len(own) == sum(map(len, classes.values()))
+    found = {}
+    for r in links:
+        inner, outer = classes[r["class_id"]], classes[r["container_class_id"]]
+        assert (r["doc_id"], r["container_id"]) == (min(inner), min(outer)) and r["containment"] == r["shared_bytes"] / r["total_bytes"]
+        found[frozenset([frozenset(inner), frozenset(outer)])] = (r["shared_bytes"], r["total_bytes"], r["container_bytes"])
+    assert len(found) == len(links)
+    return sorted(map(sorted, classes.values())), found
+
+
+def test_query_lists_documents_once_and_links_of_classes_once(spark, make, prose, tmp_path):
+    from knotwork.llm.queries import op7_fingerprints
+
+    variants = [edited(prose(9, 300), i, 1 + i % 7) for i in range(20)]
+    rows = [(100 * i + k, v) for i, v in enumerate(variants) for k in range(1 + i % 4 * 5)]
+    rows += [(5000 + k, prose(k, 200) + " " + variants[0] + " " + prose(50 + k, 200)) for k in range(4)]  # hold, and aren't held
+    rows += [(6000 + k, prose(500 + k, 150)) for k in range(30)] + [(7000, ""), (7001, None)]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = op7_fingerprints(spark, str(tmp_path)).collect()
+    want = plain_links(rows, Z.FINE)
+    assert read_links(got) == want
+    assert len(want[1]) > 150 and any(s < 0.8 * more for s, _, more in want[1].values()) and any(s >= 0.8 * more for s, _, more in want[1].values())
+    assert len(got) == len(rows) - 2 + len(want[1])
+
+
+def test_copies_add_a_row_each(make, prose):
+    variants = [edited(prose(9, 300), i) for i in range(6)]
+    count = lambda n: Z.links(make([(n * i + k, v) for i, v in enumerate(variants) for k in range(n)]), Z.FINE).count()
+    once = count(1)
+    assert once > 6 and count(30) == 6 * 29 + once
+
+
+def test_links_of_messy_rows(messy, make, prose):
+    rows = Z.links(messy, Z.FINE).collect()
+    own = [(r["doc_id"], r["class_id"]) for r in rows if r["container_class_id"] is None]
+    assert Counter(d for d, _ in own) == Counter([1, 2, None, 5, 6, 7, 8, 8, 9])
+    assert len({c for d, c in own if d in (1, 2, None)}) == 1 and len({c for _, c in own}) == 7
+    assert Z.links(make([])).count() == 0
+    unnamed = Z.links(make([(None, prose(9, 300)), (None, edited(prose(9, 300), 1)), (4, edited(prose(9, 300), 2))]), Z.FINE).collect()
+    assert len(unnamed) == 6 and len({frozenset([r["class_id"], r["container_class_id"]]) for r in unnamed if r["container_class_id"] is not None}) == 3
+
+
+def test_links_at_the_threshold_itself(spark):
+    kinds = {"rare": 20, "x": 30, "y": 50, "z": 60, "w": 90}
+    chunk = {k: (i << 16) | size for i, (k, size) in enumerate(kinds.items(), 1)}
+    sets = {1: ["rare", "x", "y"], 2: ["x", "y", "z"], 3: ["rare", "w"]}  # 2 holds exactly four fifths of 1, all but its rarest chunk
+    df = {k: sum(k in s for s in sets.values()) for k in kinds}
+    shared = spark.createDataFrame([(c, chunk[k], df[k]) for c, s in sets.items() for k in s if df[k] > 1], "class long, chunk long, df long")
+    classes = spark.createDataFrame([(c, sum(kinds[k] for k in s)) for c, s in sets.items()], "class long, total long")
+    assert [tuple(r) for r in Z.class_links(shared, classes, Z.FINE).collect()] == [(1, 2, 100, 140, 80)]
