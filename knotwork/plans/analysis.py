@@ -79,7 +79,7 @@ def analyse(spark: SparkSession, config: Config, sources: DataFrame, excludes: l
     index = R.module_index(files)
     resolved = R.resolve(E.raw_imports(facts), index, config.parse.string_imports_mode, config.parse.string_imports_min_dots, config.resolve.include_ancestor_init)
     deps, suppressed = cut(resolved["deps"], "deps"), resolved["suppressed"]
-    winners, all_nodes = G.module_winners(files), G.nodes_of(files)
+    winners, all_nodes = G.module_winners(files, placed=True), G.nodes_of(files)
     all_edges = cut(G.file_edges(deps, winners), "edges")
     if config.resolve.include_ancestor_init and config.resolve.include_self_ancestor_init:
         all_edges = cut(G.restore_suppressed(all_nodes, all_edges, winners, suppressed), "restored")
