@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from knotwork.functions import paths
 from knotwork.operators import cycles as C
@@ -10,7 +11,8 @@ from knotwork.operators import graph as G
 from knotwork.operators import reach as A
 from knotwork.operators import trace as T
 from knotwork.operators.components import connected_components
-from knotwork.operators.scc import large_components, strong_components, tarjan
+from knotwork.operators.pieces import pieces_of
+from knotwork.operators.scc import large_components, strong_components, strong_members, tarjan
 
 
 def frames(spark, edges, nodes=(), lines=None):
@@ -150,3 +152,58 @@ def test_partial_baseline(spark):
 
 def test_path_order_is_by_component():
     assert paths.sort_paths(["a-b/c.py", "a.py", "a/b.py"]) == ["a/b.py", "a-b/c.py", "a.py"]
+
+
+@pytest.fixture
+def apart(spark):
+    """Small shuffles keep their partitions."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "5")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def _scattered(spark):
+    """Chains of small cycles whose edges lie at many places, so that no task has a whole component."""
+    rng = random.Random(5)
+    edges = [(f"g{g}/m{i}.py", f"g{g}/m{j}.py") for g in range(30) for i, j in ((0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 3), (5, 0), (6, 5), (6, 4))]
+    rows = [(a, b, [rng.randrange(9)], rng.randrange(40)) for a, b in edges]
+    return edges, spark.createDataFrame(rows, "src string, dst string, lines array<int>, place long")
+
+
+def test_pieces_of_many_places_are_linked(spark, apart):
+    edges, scattered = _scattered(spark)
+    found = {}
+    for r in pieces_of(scattered).edges().collect():
+        found.setdefault(r["component"], set()).update((r["src"], r["dst"]))
+    assert sorted(map(sorted, found.values())) == sorted(sorted(f"g{g}/m{i}.py" for i in range(7)) for g in range(30))
+    together = scattered.withColumn("place", F.xxhash64(F.substring_index("src", "/", 1)))
+    assert pieces_of(scattered).links is not None and pieces_of(together).links is None
+
+
+def test_small_components_need_no_rounds(spark, apart, monkeypatch):
+    """Cycles, ways to them and all that leads to them, in a graph beyond a task whose components are not."""
+    edges, scattered = _scattered(spark)
+    nodes = scattered.select(F.col("src").alias("path")).distinct()
+    kept = C.ordered(C.by_size(C.cycles_of(strong_members(scattered, 20), scattered)), [])
+    one = T.impacts(scattered, kept, nodes).collect()
+    for name in ("_best_by_rounds", "_reachable_by_rounds"):
+        monkeypatch.setattr(A, name, lambda *x: pytest.fail("a round of shuffles"))
+    many = T.impacts(scattered, kept, nodes, 20)
+    show = lambda rows: sorted(str(r.asDict(True)) for r in rows)
+    assert show(many.collect()) == show(one) and kept.count() == 60
+    counted = T.impacts(scattered, kept, nodes, 20, hops=False)
+    for stats in (T.trace_stats, T.trace_distribution):
+        assert show(stats(counted).collect()) == show(stats(many).collect())
+    leads = A.reaching(scattered, C.cyclic_files(kept), 20)
+    assert sorted(r["path"] for r in leads.collect()) == sorted({x for e in edges for x in e})
+
+
+def test_no_task_numbers_all_cycles(spark):
+    df = spark.createDataFrame([(f"p{i % 7}/{i}.py", [f"p{i % 7}/{i}.py"], i % 5) for i in range(200)], "scc_id string, members array<string>, size int")
+    found = C.ordered(df, [])
+    assert "Window [row_number" not in found._jdf.queryExecution().toString()
+    rows = [(r["packages"][0], r["size"], r["scc_id"].split("/")) for r in found.orderBy("cycle_index").collect()]
+    assert rows == sorted(rows) and [r["cycle_index"] for r in found.orderBy("cycle_index").collect()] == list(range(1, 201))
